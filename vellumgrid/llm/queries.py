@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from vellumgrid.llm import bpe, mixing, quality, simhash
+from vellumgrid.llm import bpe, mixing, quality, secret_scan, simhash, substrings, topk
 
 QUERIES = {
     "op4_simhash": simhash.op4_simhash,
+    "op5_topk": topk.op5_topk,
+    "op6_secrets": secret_scan.op6_secrets,
     "op7_bpe": bpe.op7_bpe,
+    "op8_substrings": substrings.op8_substrings,
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
 }
 SQL = {
+    "op5_topk": topk.OP5_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
