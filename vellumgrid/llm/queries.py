@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vellumgrid.llm import bpe, mixing, quality, secret_scan, simhash, substrings, topk
+from vellumgrid.llm import bpe, language_model, mixing, quality, secret_scan, simhash, substrings, topk
 
 QUERIES = {
+    "op1_language_model": language_model.op1_language_model,
     "op4_simhash": simhash.op4_simhash,
     "op5_topk": topk.op5_topk,
     "op6_secrets": secret_scan.op6_secrets,
