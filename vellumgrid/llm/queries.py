@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from vellumgrid.llm import bpe, language_model, mixing, quality, secret_scan, simhash, substrings, topk, toxicity
+from vellumgrid.llm import bpe, html_text, language_model, mixing, quality, secret_scan, simhash, substrings, topk, toxicity
 
 QUERIES = {
     "op1_language_model": language_model.op1_language_model,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_html_text": html_text.op3_html_text,
     "op4_simhash": simhash.op4_simhash,
     "op5_topk": topk.op5_topk,
     "op6_secrets": secret_scan.op6_secrets,
