@@ -8,7 +8,7 @@ reaches it: the document there gives its first words only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumgrid.llm.common import WORD, table, text_of
@@ -53,16 +53,17 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_
     )
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS, seed: str = "") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS, seed: str = "", also: dict[str, Column] | None = None) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted).
 
     A null text has size 0 and gives nothing; a null source is a source of its own, the last; a null doc_id keys as the empty
     text; rows that repeat each count. Keys are md5 of seed and doc_id, ties go by doc_id, then size; rows alike in both are
-    interchangeable. Other columns are ignored.
+    interchangeable. Other columns are ignored; `also` names columns over docs to hand through.
     """
+    more = also or {}
     size = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sizes = write_table(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size")), "sizes")
+    sizes = write_table(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), *(c.alias(k) for k, c in more.items())), "sizes")
     targets = write_table(source_targets(sizes, weights, most_epochs), "targets")
     keyed = sizes.withColumn("key", key).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,7 +82,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_epochs: int
         keyed.join(buckets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
         .withColumn("prefix", prefix)
         .withColumn("taken", (epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("prefix")))).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "taken")
+        .select("doc_id", "source", "size", "source_size", "target", "taken", *more)
     )
 
 
