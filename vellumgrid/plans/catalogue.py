@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from vellumgrid.plans import street_queries
+
+_PARTS = (street_queries,)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}
