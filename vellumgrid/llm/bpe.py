@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,8 +28,9 @@ from vellumgrid.llm.common import slices, table
 
 #: The word split of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words whose tokens a worker remembers, and the longest such word; beyond, the memory starts anew.
-REMEMBERED, REMEMBERED_LENGTH = 200_000, 64
+#: Words whose tokens a worker remembers in each of two generations, and the longest such word. When the younger is full it
+#: becomes the older; a word met again moves to the younger.
+REMEMBERED, REMEMBERED_LENGTH = 250_000, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -56,6 +58,7 @@ class Automaton:
     longest: int = 0
     known: dict[int, bool] = field(default_factory=dict)
     words: dict[str, bytes] = field(default_factory=dict)
+    older: dict[str, bytes] = field(default_factory=dict)
 
     def ready(self) -> Automaton:
         """With what a worker needs besides the tables."""
@@ -79,19 +82,23 @@ class Automaton:
 
     def read(self, word: bytes) -> list[int]:
         """Tokens of one word."""
-        n, target, ids, prefixes = len(word), self.table[5], self.ids, self.prefixes
-        state: list[int | None] = [None] * (n + 1)
-        arc: list[int] = [0] * (n + 1)
+        whole = self.ids.get(word)
+        if whole is not None:  # the first state has an arc for every token that can be made
+            return [whole]
+        n, target, ids, prefixes, known, longest = len(word), self.table[5], self.ids, self.prefixes, self.known, self.longest
+        state = [-1] * (n + 1)
+        arc = [0] * (n + 1)
         state[0] = 0
         for i in range(n):
             s = state[i]
-            if s is None:
-                raise ValueError("a prefix without tokens")
-            for j in range(i + 1, min(n, i + self.longest) + 1):
+            for j in range(i + 1, min(n, i + longest) + 1):
                 piece = word[i:j]
-                token = ids.get(piece)
-                if token is not None and state[j] is None and self.has_arc(s, token):
-                    state[j], arc[j] = target[token], token
+                if state[j] < 0:
+                    token = ids.get(piece)
+                    if token is not None:
+                        has = known.get(s << 20 | token)
+                        if has or has is None and self.has_arc(s, token):
+                            state[j], arc[j] = target[token], token
                 if piece not in prefixes:
                     break
         out = []
@@ -103,10 +110,13 @@ class Automaton:
     def packed(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            found = np.array(self.read(word.encode()), "<u4").tobytes()
+            found = self.older.get(word)
+            if found is None:
+                ids = self.read(word.encode())
+                found = struct.pack(f"<{len(ids)}I", *ids)
             if len(word) <= REMEMBERED_LENGTH:
                 if len(self.words) >= REMEMBERED:
-                    self.words.clear()
+                    self.older, self.words = self.words, {}
                 self.words[word] = found
         return found
 
