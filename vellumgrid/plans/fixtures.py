@@ -2,7 +2,7 @@
 
 Segments: coordinates are 1000 times the first four components of an embedding. Old streets have labels under 5; present ones label
 5 and an id divisible by 8. A long line is a label. Markings are components 8 and 9, size from component 10. Characters are components
-4 and 5 times 16000, with width and height from 6 and 7. A spectrum is the absolute components over their sum. Cells of small grids are
+4 and 5 times 3000, with width and height from 6 and 7. A spectrum is the absolute components over their sum. Cells of small grids are
 (user_id, k) of events.
 """
 
@@ -50,15 +50,15 @@ def characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """char_id, x, y, width, height, area, from_curb, from_middle, ux, uy (direction of the street)."""
     e = table(spark, sf_dir, "embeddings")
     return e.select(
-        F.col("vec_id").alias("char_id"), F.col("label").alias("group_id"), component(4, 16000.0).alias("x"), component(5, 16000.0).alias("y"),
-        (F.abs(component(6, 100.0)) + 5).alias("width"), (F.abs(component(7, 100.0)) + 5).alias("height"), F.floor(F.abs(component(11, 1000.0))).cast("long").alias("area"),
+        F.col("vec_id").alias("char_id"), F.col("label").alias("group_id"), component(4, 3000.0).alias("x"), component(5, 3000.0).alias("y"),
+        (F.abs(component(6, 300.0)) + 5).alias("width"), (F.abs(component(7, 300.0)) + 5).alias("height"), F.floor(F.abs(component(11, 1000.0))).cast("long").alias("area"),
         F.abs(component(12, 100.0)).alias("from_curb"), F.abs(component(13, 100.0)).alias("from_middle"), F.lit(1.0).alias("ux"), F.lit(0.0).alias("uy"),
     )
 
 
 CHARACTERS = (
-    "ch AS (SELECT vec_id AS char_id, label AS group_id, CAST(embedding[5] AS DOUBLE) * 16000 AS x, CAST(embedding[6] AS DOUBLE) * 16000 AS y, abs(CAST(embedding[7] AS DOUBLE) * 100) + 5 AS width,"
-    " abs(CAST(embedding[8] AS DOUBLE) * 100) + 5 AS height, CAST(floor(abs(CAST(embedding[12] AS DOUBLE) * 1000)) AS BIGINT) AS area, abs(CAST(embedding[13] AS DOUBLE) * 100) AS from_curb,"
+    "ch AS (SELECT vec_id AS char_id, label AS group_id, CAST(embedding[5] AS DOUBLE) * 3000 AS x, CAST(embedding[6] AS DOUBLE) * 3000 AS y, abs(CAST(embedding[7] AS DOUBLE) * 300) + 5 AS width,"
+    " abs(CAST(embedding[8] AS DOUBLE) * 300) + 5 AS height, CAST(floor(abs(CAST(embedding[12] AS DOUBLE) * 1000)) AS BIGINT) AS area, abs(CAST(embedding[13] AS DOUBLE) * 100) AS from_curb,"
     " abs(CAST(embedding[14] AS DOUBLE) * 100) AS from_middle, 1.0 AS ux, 0.0 AS uy FROM embeddings)"
 )
 
