@@ -61,7 +61,7 @@ def folded_degrees(radians: Column) -> Column:
 def angle(a: Segment, b: Segment) -> Column:
     """Between two segments in degrees; null if one has no length. A cosine beyond 1 by rounding is 0 degrees."""
     cosine = F.try_divide(a.dx * b.dx + a.dy * b.dy, a.length * b.length)
-    return F.when(cosine > 1, F.lit(0.0)).otherwise(folded_degrees(F.acos(F.greatest(cosine, F.lit(-1.0)))))
+    return F.when(cosine > 1, F.lit(0.0)).when(cosine.isNotNull(), folded_degrees(F.acos(F.greatest(cosine, F.lit(-1.0)))))
 
 
 def intersect(a: Segment, b: Segment, strict: bool = False) -> Column:
