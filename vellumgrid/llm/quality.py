@@ -127,3 +127,27 @@ def judge(docs: DataFrame, order: list[Rule] | None = None) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS body, row_number() OVER () AS row FROM documents),
+w AS (SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words FROM d),
+m AS (
+  SELECT row, doc_id, body, words, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(body, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
+win AS (SELECT row, CAST(i AS BIGINT) AS i, array_to_string(words[i:i + 7], ' ') AS k FROM m, unnest(range(1, CAST(greatest(1, n_words - 6) AS BIGINT))) AS t(i)),
+rep AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, k) AS n FROM win) WHERE n > 1),
+cov AS (SELECT row, CAST(sum(least(8, coalesce(nxt - i, 8))) AS BIGINT) AS n FROM (SELECT row, i, lead(i) OVER (PARTITION BY row ORDER BY i) AS nxt FROM rep) GROUP BY 1),
+c AS (
+  SELECT m.*, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
+         length(regexp_replace(body, '\P{L}+', '', 'g')) AS letters, length(regexp_replace(body, '\P{Lu}+', '', 'g')) AS capitals,
+         len(list_filter(range(2, CAST(n_words + 1 AS BIGINT)), lambda i: words[i] = words[i - 1])) AS stutters
+  FROM m LEFT JOIN cov USING (row)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * len(lines)) OR word_chars < 2 * n_words OR word_chars > 16 * n_words
+            OR 2 * letters < word_chars OR 2 * capitals > letters OR 5 * stutters > n_words) AS kept
+FROM f
+"""

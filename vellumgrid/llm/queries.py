@@ -18,5 +18,7 @@ QUERIES = {
 }
 SQL = {
     "op5_topk": topk.OP5_SQL,
+    "op8_substrings": substrings.OP8_SQL,
+    "op9_quality": quality.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }

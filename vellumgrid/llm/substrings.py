@@ -239,3 +239,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, k: int = ANCHOR_
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (SELECT doc_id, CAST(i AS BIGINT) AS i, array_to_string(words[i:i + 19], ' ') AS k FROM d, unnest(range(1, CAST(greatest(1, len(words) - 18) AS BIGINT))) AS t(i)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, j FROM rep, unnest(range(i, i + 20)) AS t(j)),
+word AS (SELECT doc_id, CAST(j AS BIGINT) AS j, words[j] AS w FROM d, unnest(range(1, CAST(len(words) + 1 AS BIGINT))) AS t(j)),
+kept AS (SELECT word.doc_id, string_agg(w, ' ' ORDER BY word.j) AS t, count(*) AS n FROM word ANTI JOIN gone ON gone.doc_id = word.doc_id AND gone.j = word.j GROUP BY 1)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
