@@ -124,13 +124,13 @@ def character_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def owner_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = fx.cells(spark, sf_dir)
-    grid = cells.where("kind = 'click'").select("r", "c", (F.col("r") * 100 + F.col("c")).alias("owner")).where("(r + c) % 3 = 0")
+    grid = cells.where("kind = 'click'").where(fx.PEAK).select("r", "c", (F.col("r") * 100 + F.col("c")).alias("owner"))
     points = cells.where("kind = 'signup'").select((F.col("r") * 1000 + F.col("c")).alias("id"), "r", "c")
     return characters.owners(points, grid).select("id", F.coalesce("owner", F.lit(-1)).alias("owner"))
 
 
 OWNER_SQL = f"""
-WITH {fx.CELLS}, grid AS (SELECT r, c, r * 100 + c AS owner FROM cell WHERE kind = 'click' AND (r + c) % 3 = 0),
+WITH {fx.CELLS}, grid AS (SELECT r, c, r * 100 + c AS owner FROM cell WHERE kind = 'click' AND {fx.PEAK}),
 pt AS (SELECT r * 1000 + c AS id, r, c FROM cell WHERE kind = 'signup'),
 near AS (SELECT id, owner, row_number() OVER (PARTITION BY id ORDER BY (g.r = p.r AND g.c = p.c) DESC, g.c - p.c, g.r - p.r) AS k FROM pt p JOIN grid g ON abs(g.r - p.r) <= 2 AND abs(g.c - p.c) <= 2)
 SELECT pt.id, coalesce(near.owner, -1) AS owner FROM pt LEFT JOIN near ON near.id = pt.id AND k = 1"""

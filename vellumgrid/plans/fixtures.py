@@ -1,14 +1,14 @@
 """Map-like inputs derived from the driver's tables by fixed rules, and the same rules as SQL.
 
-Segments: coordinates are 1000 times the first four components of an embedding. Old streets have labels under 5; present ones label
-5 and an id divisible by 8. A long line is a label. Markings are components 8 and 9, size from component 10. Characters are components
+Segments: coordinates are 1000 times the first four components of an embedding. Old streets have labels under 5, present ones the
+others. A long line is a label. Markings are components 8 and 9, size from component 10. Characters are components
 4 and 5 times 3000, with width and height from 6 and 7. A spectrum is the absolute components over their sum. Cells of small grids are
-(user_id, k) of events.
+(user_id, k) of events; a cell of a small grid is set by how its events compare with an even spread.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -33,7 +33,7 @@ def old_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def present_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments(spark, sf_dir).where("label = 5 and vec_id % 8 = 0").withColumnRenamed("vec_id", "p_id")
+    return segments(spark, sf_dir).where("label >= 5").withColumnRenamed("vec_id", "p_id")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,9 +77,20 @@ SPECTRA = (
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (kind, r, c) on a 48 x 48 grid."""
+    """(kind, r, c, n, total) on a 48 x 48 grid: events of a kind in a cell, and in all of them."""
+    e = placed_events(spark, sf_dir)
+    counted = e.groupBy("kind", "r", "c").agg(F.count("*").alias("n"))
+    return counted.withColumn("total", F.sum("n").over(Window.partitionBy("kind")))
+
+
+def placed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_type").alias("kind"), (F.col("user_id") % 48).cast("int").alias("r"), (F.get_json_object("props", "$.k").cast("long") % 48).cast("int").alias("c")).where("r is not null and c is not null").distinct()
+    return e.select(F.col("event_type").alias("kind"), (F.col("user_id") % 48).cast("int").alias("r"), (F.get_json_object("props", "$.k").cast("long") % 48).cast("int").alias("c")).where("r is not null and c is not null")
 
 
-CELLS = "cell AS (SELECT DISTINCT event_type AS kind, CAST(user_id % 48 AS INTEGER) AS r, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 48 AS INTEGER) AS c FROM events WHERE user_id IS NOT NULL AND json_extract_string(props, '$.k') IS NOT NULL)"
+CELLS = (
+    "ev AS (SELECT event_type AS kind, CAST(user_id % 48 AS INTEGER) AS r, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 48 AS INTEGER) AS c FROM events WHERE user_id IS NOT NULL AND json_extract_string(props, '$.k') IS NOT NULL),"
+    " cn AS (SELECT kind, r, c, count(*) AS n FROM ev GROUP BY ALL), cell AS (SELECT *, sum(n) OVER (PARTITION BY kind) AS total FROM cn)"
+)
+#: Cells with at least so many times the events of an even spread over 48 x 48 cells.
+THICK, SPARSE, PEAK = "n * 2304 >= 0.7 * total", "n * 2304 >= 1.6 * total", "n * 2304 >= 3.1 * total"

@@ -9,12 +9,11 @@ from vellumgrid.operators import raster
 from vellumgrid.plans import fixtures as fx
 
 SIDE = 48
-SPARSE = "(r * 7 + c * 3) % 5 = 0"
-THICK = "(r * 7 + c * 3) % 11 < 8"
+SPARSE, THICK, PEAK = fx.SPARSE, fx.THICK, fx.PEAK
 
 
 def _cells(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    return fx.cells(spark, sf_dir).where(where).withColumnRenamed("kind", "img")
+    return fx.cells(spark, sf_dir).where(where).select(F.col("kind").alias("img"), "r", "c")
 
 
 def _plane(spark: SparkSession, sf_dir: str, kind: str, where: str = "true") -> DataFrame:
@@ -108,11 +107,11 @@ def row_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.feature_transform(_grid(spark, sf_dir, f"{SPARSE} AND r % 4 = 1"))
+    return raster.feature_transform(_grid(spark, sf_dir, SPARSE))
 
 
 FEATURE_SQL = f"""
-WITH {_GRID.format(SPARSE + " AND r % 4 = 1")}, n AS (SELECT a.img, a.r, a.c, (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) AS d2, b.r AS fr, b.c AS fc FROM g a JOIN g b ON a.img = b.img AND b.v = 1)
+WITH {_GRID.format(SPARSE)}, n AS (SELECT a.img, a.r, a.c, (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) AS d2, b.r AS fr, b.c AS fc FROM g a JOIN g b ON a.img = b.img AND b.v = 1)
 SELECT img, r, c, d2, fr, fc FROM (SELECT *, row_number() OVER (PARTITION BY img, r, c ORDER BY d2, fr, fc) AS k FROM n) WHERE k = 1"""
 
 
@@ -148,12 +147,12 @@ def skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grown(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _cells(spark, sf_dir, THICK)
-    seeds = cells.where("(r * 13 + c) % 97 = 0").withColumn("source", F.col("r") * 100 + F.col("c"))
+    seeds = _cells(spark, sf_dir, PEAK).withColumn("source", F.col("r") * 100 + F.col("c"))
     return raster.grown(seeds, cells, 3)
 
 
 GROWN_SQL = f"""
-WITH {fx.CELLS}, s AS (SELECT kind AS img, r, c FROM cell WHERE {THICK}), g0 AS (SELECT img, r, c, r * 100 + c AS source FROM s WHERE (r * 13 + c) % 97 = 0),
+WITH {fx.CELLS}, s AS (SELECT kind AS img, r, c FROM cell WHERE {THICK}), g0 AS (SELECT kind AS img, r, c, r * 100 + c AS source FROM cell WHERE {PEAK}),
 """ + ",\n".join(f"g{n} AS (SELECT * FROM g{n - 1} UNION ALL SELECT a.img, a.r, a.c, min(b.source) FROM s a JOIN g{n - 1} b ON a.img = b.img AND {_STEP8} ANTI JOIN g{n - 1} o ON o.img = a.img AND o.r = a.r AND o.c = a.c GROUP BY 1, 2, 3)" for n in (1, 2, 3)) + " SELECT * FROM g3"  # noqa: ISC003
 
 
@@ -163,7 +162,7 @@ def in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tight_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.tight_box(_cells(spark, sf_dir, "r > 5 AND c > 9 AND " + SPARSE))
+    return raster.tight_box(_cells(spark, sf_dir, PEAK))
 
 
 _POLYGON = [(-100.0, -120.0), (150.0, -60.0), (60.0, 140.0), (0.0, 20.0)]
@@ -209,5 +208,5 @@ SQL = {
     "q_skeleton_points": f"WITH {_MASKED} SELECT img, r, c, CASE WHEN {_TURNS} <= 1 AND bit_count(mask) <= 2 THEN 'end' WHEN {_TURNS} >= 3 THEN 'branch' ELSE 'inner' END AS kind FROM m",
     "q_geodesic_growth": GROWN_SQL,
     "q_polygon_mask": f"WITH {fx.SEGMENTS} SELECT vec_id FROM seg WHERE ({_HITS}) % 2 = 1",
-    "q_tight_box": f"WITH {fx.CELLS}, s AS (SELECT kind AS img, r, c FROM cell WHERE r > 5 AND c > 9 AND {SPARSE}) SELECT img, r - min(r) OVER (PARTITION BY img) AS r, c - min(c) OVER (PARTITION BY img) AS c FROM s",
+    "q_tight_box": f"WITH {fx.CELLS}, s AS (SELECT kind AS img, r, c FROM cell WHERE {PEAK}) SELECT img, r - min(r) OVER (PARTITION BY img) AS r, c - min(c) OVER (PARTITION BY img) AS c FROM s",
 }

@@ -52,12 +52,12 @@ def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def align(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fx.spectra(spark, sf_dir)
-    return _round(spectra.best_shift(s.where("id % 10 = 0"), spectra.templates(s).where("label < 3")))
+    return _round(spectra.best_shift(s, spectra.templates(s)))
 
 
 ALIGN_SQL = f"""
 WITH {fx.SPECTRA}, {TEMPLATES},
-al AS (SELECT e.id, t.label AS template_label, h AS shift, sum(sqrt(e.v * t.v)) AS score FROM el e CROSS JOIN range(64) AS r(h) JOIN tv t ON t.k = (e.k - 1 + h) % 64 + 1 AND t.label < 3 WHERE e.id % 10 = 0 GROUP BY ALL)
+al AS (SELECT e.id, t.label AS template_label, h AS shift, sum(sqrt(e.v * t.v)) AS score FROM el e CROSS JOIN range(64) AS r(h) JOIN tv t ON t.k = (e.k - 1 + h) % 64 + 1 GROUP BY ALL)
 SELECT id, template_label, CAST(shift AS INTEGER) AS shift, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id, template_label ORDER BY score DESC, shift) AS n FROM al) WHERE n = 1"""
 
 

@@ -13,10 +13,10 @@ from vellumgrid.plans import fixtures as fx
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of part names beside those of the next part, in upper case."""
     p = fx.table(spark, sf_dir, "part").select("p_partkey", F.upper(F.regexp_replace("p_name", "[^A-Za-z]", "")).alias("w"))
-    return p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("w").alias("w2")), "p_partkey").select("p_partkey", F.substring("w", 1, 6).alias("observed"), F.substring("w2", 1, 7).alias("intended"))
+    return p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("w").alias("w2")), "p_partkey").select("p_partkey", F.col("w").alias("observed"), F.col("w2").alias("intended"))
 
 
-_PAIRS = "p AS (SELECT p_partkey, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS w FROM part), pairs AS (SELECT a.p_partkey, substr(a.w, 1, 6) AS observed, substr(b.w, 1, 7) AS intended FROM p a JOIN p b ON b.p_partkey = a.p_partkey + 1)"
+_PAIRS = "p AS (SELECT p_partkey, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS w FROM part), pairs AS (SELECT a.p_partkey, a.w AS observed, b.w AS intended FROM p a JOIN p b ON b.p_partkey = a.p_partkey + 1)"
 
 
 def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
