@@ -126,3 +126,42 @@ def upright(dx: Column, dy: Column, cutoff: float = 0.1) -> Column:
 def outside(low: float, high: float, slope: float, x: Column) -> Column:
     """Penalty that grows by `slope` with the distance of x from the interval."""
     return F.greatest(F.lit(0.0), slope * (x - high), slope * (low - x))
+
+
+def unit(s: Segment) -> tuple[Column, Column]:
+    """Direction of a segment; (1, 0) for one without length."""
+    n = s.length
+    return F.when(n > 0, F.try_divide(s.dx, n)).otherwise(1.0), F.when(n > 0, F.try_divide(s.dy, n)).otherwise(0.0)
+
+
+def from_end(s: Segment, ahead: Column, across: Column) -> tuple[Column, Column]:
+    """Whole map coordinates of a point given from the first end, along the segment and along its normal."""
+    ux, uy = unit(s)
+    return truncated(s.x1 + ux * ahead - uy * across), truncated(s.y1 + uy * ahead + ux * across)
+
+
+def from_middle(s: Segment, x: Column, y: Column) -> tuple[Column, Column]:
+    """Whole coordinates of a map point from the segment's middle, along it and along its normal. This isn't the inverse of `from_end`,
+    which counts from an end."""
+    ux, uy = unit(s)
+    gx, gy = x - (s.x1 + s.x2) / 2, y - (s.y1 + s.y2) / 2
+    return truncated(gx * ux + gy * uy), truncated(-gx * uy + gy * ux)
+
+
+def farther_end(s: Segment, x: Column, y: Column) -> tuple[Column, Column]:
+    """Vector from a point to the end of the segment that is farther from it; to the second end if both are as far."""
+    a = (s.x1 - x) * (s.x1 - x) + (s.y1 - y) * (s.y1 - y)
+    b = (s.x2 - x) * (s.x2 - x) + (s.y2 - y) * (s.y2 - y)
+    return F.when(a > b, s.x1 - x).otherwise(s.x2 - x), F.when(a > b, s.y1 - y).otherwise(s.y2 - y)
+
+
+def corners(s: Segment, height: Column) -> Column:
+    """Array of the box around a segment of some height: top left, bottom left, bottom right, top right."""
+    ux, uy = unit(s)
+    hx, hy = -uy * height / 2, ux * height / 2
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    return F.array(at(s.x1 + hx, s.y1 + hy), at(s.x1 - hx, s.y1 - hy), at(s.x2 - hx, s.y2 - hy), at(s.x2 + hx, s.y2 + hy))
+
+
+def cosine(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    return F.try_divide(ax * bx + ay * by, F.sqrt(ax * ax + ay * ay) * F.sqrt(bx * bx + by * by))

@@ -6,6 +6,8 @@ image is spread over its rows. `img` columns may be any keys, named in `key`.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -237,3 +239,57 @@ def tight_box(cells: DataFrame, key: str = "img") -> DataFrame:
     """Cells moved so that each image begins at (0, 0)."""
     low = cells.groupBy(key).agg(F.min("r").alias("r0"), F.min("c").alias("c0"))
     return cells.join(low, key).withColumns({"r": F.col("r") - F.col("r0"), "c": F.col("c") - F.col("c0")}).select(*cells.columns)
+
+
+def turned(cells: DataFrame, degrees: float, r0: float = 0.0, c0: float = 0.0) -> DataFrame:
+    """Cells turned about a point, each to the nearest cell; cells that meet are one."""
+    a = math.radians(degrees)
+    dr, dc = F.col("r") - r0, F.col("c") - c0
+    r = F.floor(r0 + dr * math.cos(a) - dc * math.sin(a) + 0.5).cast("int")
+    c = F.floor(c0 + dr * math.sin(a) + dc * math.cos(a) + 0.5).cast("int")
+    return cells.select(*(x for x in cells.columns if x not in ("r", "c")), r.alias("r"), c.alias("c")).distinct()
+
+
+def sheared(cells: DataFrame, slope: float, height: int) -> DataFrame:
+    """Rows moved sideways by slope, about the middle row."""
+    return cells.withColumn("c", (F.col("c") + F.floor(slope * (F.col("r") - height / 2) + 0.5)).cast("int"))
+
+
+def deskew_slope(cells: DataFrame, key: str = "img") -> DataFrame:
+    """(img, slope): shear that makes the second moments of an image upright; 0 where rows don't vary."""
+    return cells.groupBy(key).agg(F.coalesce(-F.try_divide(F.covar_pop("r", "c"), F.var_pop("r")), F.lit(0.0)).alias("slope"))
+
+
+def centred(cells: DataFrame, height: int, width: int, key: str = "img") -> DataFrame:
+    """Tight boxes set in the middle of a frame; what is over on the right and below falls off."""
+    tight = tight_box(cells, key)
+    size = tight.groupBy(key).agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
+    move = lambda full, own: F.greatest(F.lit(0), F.floor((full - F.col(own)) / 2)).cast("int")
+    placed = tight.join(size, key).withColumns({"r": F.col("r") + move(height, "h"), "c": F.col("c") + move(width, "w")})
+    return placed.where((F.col("r") < height) & (F.col("c") < width)).select(*cells.columns)
+
+
+def fitted(cells: DataFrame, side: int, key: str = "img") -> DataFrame:
+    """Tight boxes scaled to fit a square, in its middle; each cell goes to one cell."""
+    tight = tight_box(cells, key)
+    size = tight.groupBy(key).agg((F.max(F.greatest("r", "c")) + 1).alias("n"))
+    scaled = tight.join(size, key).withColumns({x: F.floor(F.col(x) * side / F.col("n")).cast("int") for x in ("r", "c")}).select(*cells.columns).distinct()
+    return centred(scaled, side, side, key)
+
+
+def grown_disks(skeleton: DataFrame, key: str = "img") -> DataFrame:
+    """Cells within the radius of any skeleton cell (img, r, c, d2): the shape again from its skeleton."""
+    reach = F.floor(F.sqrt(F.col("d2").cast("double"))).cast("int")
+    steps = F.sequence(-reach, reach)
+    around = F.flatten(F.transform(steps, lambda dr: F.transform(steps, lambda dc: F.struct(dr.alias("dr"), dc.alias("dc")))))
+    spread = skeleton.select(key, "r", "c", "d2", F.explode(around).alias("o")).where(F.col("o.dr") * F.col("o.dr") + F.col("o.dc") * F.col("o.dc") < F.greatest("d2", F.lit(1)))
+    return spread.select(key, (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c")).distinct()
+
+
+def nearest_source(cells: DataFrame, sources: DataFrame, reach: int) -> DataFrame:
+    """(r, c, source, d2): the nearest source (r, c, source) of each cell within a reach; ties to the smaller source."""
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    around = F.flatten(F.transform(steps, lambda dr: F.transform(steps, lambda dc: F.struct(dr.alias("dr"), dc.alias("dc")))))
+    spread = sources.select("source", F.col("r").alias("r0"), F.col("c").alias("c0"), F.explode(around).alias("o")).select("source", (F.col("r0") + F.col("o.dr")).alias("r"), (F.col("c0") + F.col("o.dc")).alias("c"), (F.col("o.dr") * F.col("o.dr") + F.col("o.dc") * F.col("o.dc")).alias("d2"))
+    best = spread.where(F.col("d2") <= reach * reach).groupBy("r", "c").agg(F.min(F.struct("d2", "source")).alias("m"))
+    return cells.join(best, ["r", "c"]).select("r", "c", "m.source", "m.d2")

@@ -161,3 +161,50 @@ def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key by a total order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+#: For each way of joining lines at a vertex, the greatest cosine of lines and of long lines; sums over -1.1 don't join.
+VERTEX_BOUNDS = {"lines": (-0.80, -(3**0.5) / 2), "character lines": (-0.73, -0.8), "extended streets": (-(3**0.5) / 2, -(3**0.5) / 2)}
+MOST_VERTEX_SCORE = -1.1
+
+
+def vertex_score(way: str, line_cosine: Column, long_cosine: Column) -> Column:
+    """Score of joining two lines at a vertex, lower is better: cosine of the lines and half that of their long lines. Null if they
+    don't join."""
+    a, b = VERTEX_BOUNDS[way]
+    score = line_cosine + 0.5 * long_cosine
+    return F.when((line_cosine <= a) & (long_cosine <= b) & (score <= MOST_VERTEX_SCORE), score)
+
+
+def gap_score(way: str, gap: Column, line_cosine: Column, long_cosine: Column, gap_cosine_1: Column, gap_cosine_2: Column) -> Column:
+    """Score of joining two lines over a gap: the gap with the cosines; null if they don't join."""
+    across, most = {"lines": (-0.95, 10.0), "extended streets": (0.5, 250.0)}[way]
+    score = gap + line_cosine + 0.5 * long_cosine
+    fits = (line_cosine <= -0.95) & (long_cosine <= -(3**0.5) / 2) & (gap_cosine_1 <= across) & (gap_cosine_2 <= across)
+    return F.when(fits & (score <= most), score)
+
+
+def vertex_pairs(lines: DataFrame, way: str = "lines") -> DataFrame:
+    """(vertex, a, b, score): pairs of lines that join where their ends have equal whole coordinates; a long line is the line alone."""
+    end = lambda k: lines.select(F.col("line_id"), g.truncated(F.col(f"x{k}")).alias("vx"), g.truncated(F.col(f"y{k}")).alias("vy"), (F.col(f"x{3 - k}") - F.col(f"x{k}")).alias("dx"), (F.col(f"y{3 - k}") - F.col(f"y{k}")).alias("dy"))
+    ends = end(1).unionByName(end(2))
+    a, b = (ends.select("vx", "vy", *(F.col(c).alias(f"{k}_{c}") for c in ("line_id", "dx", "dy"))) for k in "ab")
+    cosine = g.cosine(*(F.col(c) for c in ("a_dx", "a_dy", "b_dx", "b_dy")))
+    pairs = a.join(b, ["vx", "vy"]).where("a_line_id < b_line_id").withColumn("score", vertex_score(way, cosine, cosine)).where("score is not null")
+    return pairs.select("vx", "vy", F.col("a_line_id").alias("a"), F.col("b_line_id").alias("b"), "score")
+
+
+def flood_evidence(lines: DataFrame, flood: DataFrame, mask: DataFrame, short: float = 5.0, long: float = 15.0) -> DataFrame:
+    """(line_id, flood_p, flood_n): four probes across the middle of each line, near and far on both sides.
+
+    flood: cells (r, c) of large open areas; mask: cells (r, c) of the map. A probe in the open or off the map counts for its side, one
+    in the open far on the other side against it.
+    """
+    s = g.Segment.named()
+    probe = lambda name, d: F.struct(F.lit(name).alias("name"), *(v.cast("int").alias(k) for k, v in zip(("c", "r"), g.from_end(s, s.length / 2, F.lit(d)))))
+    probes = lines.select("line_id", F.explode(F.array(probe("pl", long), probe("ps", short), probe("ns", -short), probe("nl", -long))).alias("p")).select("line_id", "p.name", "p.r", "p.c")
+    seen = probes.join(flood.select("r", "c", F.lit(1).alias("f")).distinct(), ["r", "c"], "left").join(mask.select("r", "c", F.lit(1).alias("m")).distinct(), ["r", "c"], "left")
+    f = lambda name: F.max(F.when((F.col("name") == name) & F.col("f").isNotNull(), 1).otherwise(0))
+    m = lambda name: F.max(F.when((F.col("name") == name) & F.col("m").isNull(), 1).otherwise(0))
+    side = lambda x, y: 0.5 * f(f"{x}l") + 0.5 * f(f"{x}s") + 0.4 * m(f"{x}l") + 0.4 * m(f"{x}s") - 0.5 * f(f"{y}l") + 0.3 * m(f"{y}l")
+    return seen.groupBy("line_id").agg(side("p", "n").alias("flood_p"), side("n", "p").alias("flood_n"))
