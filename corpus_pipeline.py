@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumgrid.llm import bpe, mixing, secret_scan, simhash, toxicity
+from vellumgrid.llm import bpe, mixing, near_copies, secret_scan, toxicity
 from vellumgrid.llm.common import table, text_of
 from vellumgrid.storage import write_table
 
@@ -28,8 +28,8 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     A row without a doc_id stays only if its whole component has none, and then one does.
     """
-    found = simhash.near_duplicates(docs)
-    named = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    found = near_copies.with_components(docs)
+    named = found.groupBy("component").agg(F.min("doc_id").alias("kept")).select("kept").distinct()
     return docs.join(named, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 
 

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -39,3 +41,47 @@ def test_secrets_are_gone(spark):
 def test_whole_pipeline(spark):
     df = corpus_pipeline.run(spark, FOLDER)
     assert df.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and df.count() > 0
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (cases.words(cases.lowered(t)) for t in (a, b)))
+    return len(x & y) / len(x | y)
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    """Copies with a similarity from under 0.8 to 0.95; links join over a third text."""
+    rnd = random.Random(3)
+    texts = []
+    for _ in range(12):
+        base = cases.prose(rnd, 200).split()
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 4, 5, 6):
+            copy = list(base)
+            for at in rnd.sample(range(5, 195), edits):
+                copy[at] = f"edit{at}"
+            texts.append(" ".join(copy))
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    near = [(a, b, j) for a in range(len(texts)) for b in range(a) if (j := jaccard(texts[a], texts[b])) >= 0.8]
+    assert sum(j < 0.85 for *_, j in near) > 10 and sum(j > 0.9 for *_, j in near) > 10
+    for a, b, _ in near:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = [r.doc_id for r in corpus_pipeline.near_duplicates_out(spark, docs, FOLDER).collect()]
+    assert sorted(got) == sorted({find(k) for k in range(len(texts))})
+
+
+def test_near_duplicates_cross_the_ends_of_a_bucket():
+    """Two sets that differ in 11 of 100 shingles have a similarity just above 0.8, 12 just under it."""
+    import numpy as np
+
+    from vellumgrid.llm import near_copies
+
+    a = np.arange(100, dtype="<u8")
+    assert near_copies.similarity(a.tobytes(), (a + 11).tobytes()) == 89 / 111 >= 0.8 > near_copies.similarity(a.tobytes(), (a + 12).tobytes())
