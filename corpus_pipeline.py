@@ -24,13 +24,11 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names each component: the one with its smallest doc_id; of rows that repeat it, one.
+    """One row of each component of documents whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    A row without a doc_id stays only if its whole component has none, and then one does.
+    Of a component stays the row with the smallest doc_id; rows without one come last, and stay where none of the others has one.
     """
-    found = near_copies.with_components(docs)
-    named = found.groupBy("component").agg(F.min("doc_id").alias("kept")).select("kept").distinct()
-    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return near_copies.one_of_each(docs.select(*COLUMNS))
 
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,3 +85,12 @@ def test_near_duplicates_cross_the_ends_of_a_bucket():
 
     a = np.arange(100, dtype="<u8")
     assert near_copies.similarity(a.tobytes(), (a + 11).tobytes()) == 89 / 111 >= 0.8 > near_copies.similarity(a.tobytes(), (a + 12).tobytes())
+
+
+def test_near_duplicates_keep_rows_of_repeated_and_missing_ids(spark):
+    rnd = random.Random(4)
+    a, b, c, d, e = (cases.prose(rnd, 40) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (0, d + " more"), (None, e), (7, e), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates_out(spark, docs, FOLDER).select("doc_id", "text").collect()
+    assert cases.multiset(map(tuple, got)) == cases.multiset([(None, a), (None, b), (1, c), (0, d + " more"), (7, e), (None, "")])

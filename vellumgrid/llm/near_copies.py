@@ -128,3 +128,11 @@ def with_components(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rest = write_table(crossing.join(tried, ["u", "v"], "left_anti"), "rest")
     found = connected_components(links.unionByName(_confirmed(rest, rows, texts, least)), "near")
     return rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).select(*docs.columns, "row", "component")
+
+
+def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """One row of each component, as it was: the one with the smallest doc_id (none comes last), then by a hash of the row."""
+    rows = with_components(docs, least)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "row")
+    kept = rows.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*docs.columns)
