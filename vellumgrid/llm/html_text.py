@@ -2,9 +2,9 @@
 
 A page is a sequence of words and tags. Words score positive and tags negative; a linear scan finds the contiguous stretch
 with the greatest sum. Weights come from labelled pages: those that mark their article themselves tell for each kind of token
-(a tag, or a word by the element and the nearest named container around it) how often it stands inside and outside of one.
-The weight is the log odds, held to a sign. Elements that are no article by their nature (menus, forms, comments and the like)
-give no words, wherever they stand, and count nothing in the scan.
+(a tag, or a word by its element, the container around it and what the classes of the nearest named one hint at) how often it stands inside and outside of one.
+The weight is the log odds, held to a sign. Elements that are no article by their nature (menus, forms, comments and the like; by classes and ids
+only if one is such a name as a whole) give no words, wherever they stand, and count nothing in the scan.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6"
     " head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements, roles and words of classes and ids that are no article text.
+#: Elements, roles, and classes and ids as a whole, that are no article text; a part of a class or id is a hint only.
 NOT_TEXT = frozenset("head header footer nav aside form menu dialog button select datalist fieldset label input script style noscript template textarea svg math iframe object canvas audio video map search".split())
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NOT_NAMES = frozenset(
@@ -43,24 +43,42 @@ ARTICLE = ("article", "main")
 _CLOSES = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table select body article main section div aside nav form header footer blockquote".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[?!][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _PARTS = re.compile(r"[a-z0-9]+")
+#: Between the elements and the hint in a kind of word.
+HINTED = " ~ "
 #: Kinds of token that the driver keeps weights of, at most: the most frequent.
 KINDS = 2000
 LEAST_WEIGHT, MOST_WEIGHT, WORD_WEIGHT = 0.1, 3.0, 0.5
 
 
-def _not_text(tag: str, attributes: str) -> bool:
+def _attributes(text: str) -> dict[str, str]:
+    """Lower-case values by lower-case name; the first of a name holds. An attribute without a value is empty."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), "".join(values).lower())
+    return found
+
+
+def _names(attributes: dict[str, str]) -> list[str]:
+    """Its classes and its id."""
+    return [*attributes.get("class", "").split(), *attributes.get("id", "").split()]
+
+
+def _not_text(tag: str, attributes: dict[str, str]) -> bool:
+    """By its element, role or state, or by a class or id that is such a name as a whole."""
     if tag in NOT_TEXT:
         return True
-    for name, *values in _NAMES.findall(attributes):
-        name, value = name.lower(), "".join(values).lower()
-        if name == "role" and value in NOT_ROLES or name == "aria-hidden" and value == "true" or name == "hidden" and not any(values):
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", *ARTICLE) and NOT_NAMES.intersection(_PARTS.findall(value)):
-            return True
-    return False
+    if attributes.get("role") in NOT_ROLES or attributes.get("aria-hidden") == "true" or attributes.get("hidden", "until-found") != "until-found":
+        return True
+    return tag not in ("html", "body", *ARTICLE) and not NOT_NAMES.isdisjoint(_names(attributes))
+
+
+def _hint(attributes: dict[str, str]) -> str | None:
+    """Parts of classes and the id that sound like no article: only their weight tells. None if it has no names."""
+    names = _names(attributes)
+    return " ".join(sorted(NOT_NAMES.intersection(_PARTS.findall(" ".join(names))))) if names else None
 
 
 @dataclass
@@ -79,7 +97,7 @@ class Piece:
 
 def pieces(page: str) -> Iterator[Piece]:
     """The page in order, as tags and texts."""
-    stack: list[tuple[str, bool, bool]] = []  # tag, no text, article
+    stack: list[tuple[str, bool, bool, str]] = []  # tag, no text, article, hint of the nearest block with names
     out = marked = block = 0
     at, n = 0, len(page)
     while at < n:
@@ -89,7 +107,8 @@ def pieces(page: str) -> Iterator[Piece]:
         if tag is None:
             if m[0][0] != "<" or m[0] == "<":
                 around = next((x for x, *_ in reversed(stack) if x in BLOCK), "")
-                yield Piece(f"{around} {stack[-1][0] if stack else ''}", html.unescape(m[0]), block, not out, marked > 0)
+                hint = stack[-1][3] if stack else ""
+                yield Piece(f"{around} {stack[-1][0] if stack else ''}{HINTED * bool(hint)}{hint}", html.unescape(m[0]), block, not out, marked > 0)
             elif m[0].startswith("<![CDATA["):
                 yield Piece("cdata", m[0][9:].removesuffix("]]>"), block, not out, marked > 0)
             continue
@@ -100,7 +119,7 @@ def pieces(page: str) -> Iterator[Piece]:
             hidden = bool(out)
             if any(x[0] == tag for x in stack):
                 while True:
-                    name, no, art = stack.pop()
+                    name, no, art, _ = stack.pop()
                     out, marked = out - no, marked - art
                     if name == tag:
                         break
@@ -108,7 +127,7 @@ def pieces(page: str) -> Iterator[Piece]:
             continue
         for open_tag in range(len(stack) - 1, -1, -1) if tag in _CLOSES else ():
             if stack[open_tag][0] in _CLOSES[tag]:
-                for name, no, art in stack[open_tag:]:
+                for _, no, art, _ in stack[open_tag:]:
                     out, marked = out - no, marked - art
                 del stack[open_tag:]
                 break
@@ -119,13 +138,15 @@ def pieces(page: str) -> Iterator[Piece]:
         if tag == "br":
             yield Piece("<br>", " ", block, not out, marked > 0)
             continue
-        no = _not_text(tag, m[3])
+        attributes = _attributes(m[3])
+        no = _not_text(tag, attributes)
         yield Piece(f"<{tag}>", None, block, not (out or no), marked > 0)
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else n
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append((tag, no, tag in ARTICLE))
+            hint = _hint(attributes) if tag in BLOCK else None
+            stack.append((tag, no, tag in ARTICLE, (stack[-1][3] if stack else "") if hint is None else hint))
             out, marked = out + no, marked + (tag in ARTICLE)
 
 
@@ -139,11 +160,11 @@ def tally(page: str) -> Counter:
 
 
 def weight(kind: str, inside: int, outside: int) -> float:
-    """Log odds of standing inside, held positive for words and negative for tags."""
+    """Log odds of standing inside, held positive for words and negative for tags; words in a block with a hint have either sign."""
     odds = math.log((inside + 1) / (outside + 1))
     if kind.startswith("<"):
         return -min(MOST_WEIGHT, max(LEAST_WEIGHT, -odds))
-    return min(MOST_WEIGHT, max(LEAST_WEIGHT, odds))
+    return min(MOST_WEIGHT, max(-MOST_WEIGHT if HINTED in kind else LEAST_WEIGHT, odds))
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
@@ -160,7 +181,8 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
         if p.text is None:
             total += weights.get(p.kind, -LEAST_WEIGHT)
         else:
-            total += weights.get(p.kind, WORD_WEIGHT) * len(p.text.split()) * (-1 if marks and not p.article else 1)
+            each = weights.get(p.kind, LEAST_WEIGHT if HINTED in p.kind else WORD_WEIGHT)
+            total += (-abs(each) if marks and not p.article else each) * len(p.text.split())
         if total <= 0:
             total, start = 0.0, k + 1
         elif total > best:
