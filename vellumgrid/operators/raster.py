@@ -7,6 +7,7 @@ image is spread over its rows. `img` columns may be any keys, named in `key`.
 from __future__ import annotations
 
 import math
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -188,17 +189,17 @@ def thin_step(cells: DataFrame, second: bool, key: str = "img") -> DataFrame:
     return m.where(~(F.bit_count(k).between(2, 6) & (turns(k) == 1) & open_sides)).select(*cells.columns)
 
 
-def thinned(cells: DataFrame, most_rounds: int = 20, key: str = "img") -> DataFrame:
-    """Thinning by half-steps until nothing goes, or a number of rounds."""
+def thinned(cells: DataFrame, most_rounds: int | None = None, key: str = "img") -> DataFrame:
+    """Thinning by half-steps until nothing goes; raises if cells still go in the last of a given number of rounds."""
     now = write_table(cells, "thin")
     n = now.count()
-    for _ in range(most_rounds):
+    for _ in count() if most_rounds is None else range(most_rounds):
         now = write_table(thin_step(thin_step(now, False, key), True, key), "thin")
         left = now.count()
         if left == n:
-            break
+            return now
         n = left
-    return now
+    raise ValueError(f"cells still went after {most_rounds} rounds of thinning")
 
 
 def end_and_branch_points(cells: DataFrame, key: str = "img") -> DataFrame:

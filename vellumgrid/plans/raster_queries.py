@@ -142,7 +142,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.thinned(_cells(spark, sf_dir, THICK), 4)
+    return raster.thinned(_cells(spark, sf_dir, THICK))
 
 
 def grown(spark: SparkSession, sf_dir: str) -> DataFrame:
