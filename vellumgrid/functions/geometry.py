@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -64,6 +64,20 @@ def angle(a: Segment, b: Segment) -> Column:
     return F.when(cosine > 1, F.lit(0.0)).when(cosine.isNotNull(), folded_degrees(F.acos(F.greatest(cosine, F.lit(-1.0)))))
 
 
+def within_angle(a: Segment, b: Segment, degrees: float) -> Column:
+    """True wherever the angle is under `degrees`, and hardly elsewhere: products only, to stand before dearer tests."""
+    least = max(0.0, math.cos(math.radians(min(degrees, 90.0)))) ** 2 - 1e-9
+    dot = a.dx * b.dx + a.dy * b.dy
+    return dot * dot >= least * (a.dx * a.dx + a.dy * a.dy) * (b.dx * b.dx + b.dy * b.dy)
+
+
+def box_gap(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> Column:
+    """Distance of two boxes along the axis where they are farther apart, from names of x_low, y_low, x_high, y_high; no more than
+    the distance of what they hold."""
+    c = F.col
+    return F.greatest(F.lit(0.0), c(b[0]) - c(a[2]), c(a[0]) - c(b[2]), c(b[1]) - c(a[3]), c(a[1]) - c(b[3]))
+
+
 def intersect(a: Segment, b: Segment, strict: bool = False) -> Column:
     """Whether two segments cross. By default only for one sense of turning; `strict` knows both."""
     delta = b.dx * a.dy - b.dy * a.dx
@@ -104,11 +118,50 @@ def overshoot(a: Segment, b: Segment) -> Column:
     return F.greatest(F.lit(0.0), F.least(p, q) - 1, -F.greatest(p, q))
 
 
+def measured(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Adds angle, distance, over_ab (how far b is beyond a) and over_ba to pairs of segments <a>x1 and so on, <b>x1 and so on.
+
+    The same values as `angle`, `distance` and `overshoot`. Each step names what the next ones use, so that a pair is worked out once; a
+    filter on these columns would be pushed below the steps and repeat them, so test them inside of an aggregate.
+    """
+    s, t = Segment.named(a), Segment.named(b)
+    c = F.col
+    steps = pairs.withColumns({"_ax": s.dx, "_ay": s.dy, "_bx": t.dx, "_by": t.dy})
+    steps = steps.withColumns({"_aa": c("_ax") * c("_ax") + c("_ay") * c("_ay"), "_bb": c("_bx") * c("_bx") + c("_by") * c("_by"), "_delta": c("_bx") * c("_ay") - c("_by") * c("_ax")})
+    project = lambda x, y, one, k: (x - one.x1) * c(f"_{k}x") + (y - one.y1) * c(f"_{k}y")
+    steps = steps.withColumns(
+        {f"_{k}{n}": F.try_divide(project(x, y, one, k), c(f"_{k}{k}")) for k, one, two in (("a", s, t), ("b", t, s)) for n, (x, y) in enumerate(two.ends, 1)}
+        | {
+            "_cosine": F.abs(F.try_divide(c("_ax") * c("_bx") + c("_ay") * c("_by"), F.sqrt("_aa") * F.sqrt("_bb"))),
+            "_s": F.try_divide(c("_ax") * (t.y1 - s.y1) + c("_ay") * (s.x1 - t.x1), c("_delta")),
+            "_t": F.try_divide(c("_bx") * (s.y1 - t.y1) + c("_by") * (t.x1 - s.x1), -c("_delta")),
+        }
+    )
+    held = lambda name: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(c(name), F.lit(0.0))))
+    steps = steps.withColumns({f"_h{k}{n}": held(f"_{k}{n}") for k in "ab" for n in (1, 2)})
+    off = {}
+    for k, one, two in (("a", s, t), ("b", t, s)):
+        for n, (x, y) in enumerate(two.ends, 1):
+            off |= {f"_u{k}{n}": x - one.x1 - c(f"_h{k}{n}") * c(f"_{k}x"), f"_v{k}{n}": y - one.y1 - c(f"_h{k}{n}") * c(f"_{k}y")}
+    steps = steps.withColumns(off)
+    nearest = F.sqrt(F.least(*(c(f"_u{k}{n}") * c(f"_u{k}{n}") + c(f"_v{k}{n}") * c(f"_v{k}{n}") for k in "ab" for n in (1, 2))))
+    crosses = F.coalesce((c("_delta") >= 0.0001) & c("_s").between(0, 1) & c("_t").between(0, 1), F.lit(False))
+
+    def beyond(k: str, one: Segment, two: Segment) -> Column:
+        to_point = [F.sqrt((x - one.x1) * (x - one.x1) + (y - one.y1) * (y - one.y1)) for x, y in two.ends]
+        over = lambda p, q: F.greatest(F.lit(0.0), F.least(p, q) - 1, -F.greatest(p, q))
+        return F.when(c(f"_{k}{k}") == 0, over(*to_point)).otherwise(over(c(f"_{k}1"), c(f"_{k}2")))
+
+    angle_ = F.degrees(F.acos(F.when(c("_cosine") > 1, 1.0).otherwise(c("_cosine"))))
+    return steps.select(*pairs.columns, angle_.alias("angle"), F.when(crosses, 0.0).otherwise(nearest).alias("distance"), beyond("a", s, t).alias("over_ab"), beyond("b", t, s).alias("over_ba"))
+
+
 def beside(s: Segment, x: Column, y: Column) -> Column:
-    """True if the vector (x, y) points to the normal's side of the segment; a segment without length has direction (1, 0)."""
-    n = s.length
-    ux, uy = F.when(n > 0, s.dx / F.greatest(n, F.lit(1e-300))).otherwise(1.0), F.when(n > 0, s.dy / F.greatest(n, F.lit(1e-300))).otherwise(0.0)
-    return (-uy * x + ux * y) >= 0
+    """True if the vector (x, y) points to the normal's side of the segment, or along it; a segment without length has direction (1, 0).
+
+    The cross product isn't divided by the length, which would turn its exact 0 for a point in line into a rounded one below 0.
+    """
+    return F.when((s.dx == 0) & (s.dy == 0), y >= 0).otherwise(s.dx * y - s.dy * x >= 0)
 
 
 def circular_difference(a: Column, b: Column, period: float) -> Column:

@@ -33,11 +33,18 @@ def match_streets(old: DataFrame, present: DataFrame, p: StreetMatch = StreetMat
     A cost under the limit needs a distance under limit / weight, so candidates come from a grid and not from all pairs.
     """
     reach = p.most_cost / p.distance_weight
-    h = with_box(old.select("h_id", *(F.col(c).alias(f"h_{c}") for c in ("x1", "y1", "x2", "y2"))), "h_")
-    m = with_box(present.select("p_id", *(F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2"))), "p_")
+    length = g.Segment.named().length
+    h = with_box(old.select("h_id", *(F.col(c).alias(f"h_{c}") for c in ("x1", "y1", "x2", "y2")), length.alias("h_length")), "h_")
+    m = with_box(present.select("p_id", *(F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2")), length.alias("p_length")), "p_")
     pairs = grid_join(h, m, box_names("h_"), box_names("p_"), reach, cell or reach)
-    matched = pairs.where(match_cost(g.Segment.named("h_"), g.Segment.named("p_"), p) < p.most_cost)
-    lists = matched.groupBy("h_id").agg(F.sort_array(F.collect_list("p_id")).alias("matches"))
+    # cheap lower bounds of the cost go first; the rest is tested inside of the aggregate, see g.measured
+    close = pairs.where(g.within_angle(g.Segment.named("h_"), g.Segment.named("p_"), p.most_cost**0.5) & (p.distance_weight * g.box_gap(box_names("h_"), box_names("p_")) < p.most_cost))
+    c = F.col
+    share = F.try_divide(c("h_length"), c("h_length") + c("p_length"))
+    price = p.overshoot_weight * c("h_length")
+    cost = c("angle") * c("angle") + p.distance_weight * c("distance") + price * (share * c("over_ab") + (1 - share) * c("over_ba"))
+    taken = g.measured(close, "h_", "p_").select("h_id", F.when(cost < p.most_cost, c("p_id")).alias("p_id"))
+    lists = taken.groupBy("h_id").agg(F.sort_array(F.collect_list("p_id")).alias("matches"))
     return old.select("h_id").join(lists, "h_id", "left").select("h_id", F.coalesce("matches", F.array().cast("array<long>")).alias("matches"))
 
 
@@ -51,10 +58,12 @@ def modern_evidence(lines: DataFrame, present: DataFrame, p: SideEvidence = Side
     two = with_box(present.select(*(F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2"))), "p_")
     line, street = g.Segment.named("l_"), g.Segment.named("p_")
     pairs = grid_join(one, two, box_names("l_"), box_names("p_"), p.most_distance, 2 * p.most_distance)
-    good = pairs.where((g.angle(street, line) < p.most_angle) & (g.distance(street, line) < p.most_distance) & (g.overshoot(street, line) < p.most_overshoot))
+    close = pairs.where(g.within_angle(street, line, p.most_angle) & (g.box_gap(box_names("l_"), box_names("p_")) < p.most_distance))
     sx, sy = g.midpoint(street)
     side = g.beside(line, sx - (line.x1 + line.x2) / 2, sy - (line.y1 + line.y2) / 2)
-    by_line = good.groupBy("line_id", "group_id").agg(F.max(F.when(side, line.length).otherwise(0.0)).alias("p"), F.max(F.when(~side, line.length).otherwise(0.0)).alias("n"))
+    good = (F.col("angle") < p.most_angle) & (F.col("distance") < p.most_distance) & (F.col("over_ab") < p.most_overshoot)
+    seen = g.measured(close.withColumns({"side": side, "length": line.length}), "p_", "l_").select("line_id", "group_id", *(F.when(good & (F.col("side") == x), F.col("length")).otherwise(0.0).alias(n) for n, x in (("p", True), ("n", False))))
+    by_line = seen.groupBy("line_id", "group_id").agg(F.max("p").alias("p"), F.max("n").alias("n"))
     sums = by_line.groupBy("group_id").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     total = lines.groupBy("group_id").agg(F.sum(g.Segment.named().length).alias("length"))
     share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("length")), F.lit(0.0))
@@ -66,9 +75,11 @@ def parallel_evidence(lines: DataFrame, p: ParallelEvidence = ParallelEvidence()
     side = lambda k: with_box(lines.select(F.col("line_id").alias(f"{k}id"), F.col("group_id").alias(f"{k}group"), *(F.col(c).alias(f"{k}{c}") for c in ("x1", "y1", "x2", "y2"))), k)
     a, b = g.Segment.named("a_"), g.Segment.named("b_")
     pairs = grid_join(side("a_"), side("b_"), box_names("a_"), box_names("b_"), p.most_distance, 2 * p.most_distance).where("a_group <> b_group")
-    far = g.distance(a, b)
-    good = pairs.where((g.angle(a, b) < p.most_angle) & (far > p.least_distance) & (far < p.most_distance) & (g.overshoot(a, b) + g.overshoot(b, a) < p.most_overshoot))
-    flags = good.groupBy("a_id", "a_group", "b_group").agg(F.max(a.length).alias("w"))
+    close = pairs.where(g.within_angle(a, b, p.most_angle) & (g.box_gap(box_names("a_"), box_names("b_")) < p.most_distance)).withColumn("length", a.length)
+    far = F.col("distance")
+    good = (F.col("angle") < p.most_angle) & (far > p.least_distance) & (far < p.most_distance) & (F.col("over_ab") + F.col("over_ba") < p.most_overshoot)
+    seen = g.measured(close, "a_", "b_").select("a_id", "a_group", "b_group", F.when(good, F.col("length")).alias("w"))
+    flags = seen.groupBy("a_id", "a_group", "b_group").agg(F.max("w").alias("w"))
     sums = flags.groupBy(F.col("a_group").alias("group_id")).agg(F.sum("w").alias("w"))
     total = lines.groupBy("group_id").agg(F.sum(g.Segment.named().length).alias("length"))
     return total.join(sums, "group_id", "left").select("group_id", F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("w"), F.col("length")), F.lit(0.0))).alias("parallel"))

@@ -11,10 +11,15 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where it is unset, as in tests on one machine."""
+    """The folder named by spark.checkpoint.dir; where it is unset, a temporary one if driver and executors are one process.
+
+    Raises on a cluster without the setting: a folder of the driver's machine would be another one on each executor.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="vellumgrid-")
