@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEPARATORS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a text column that a Python kernel handles at a time.
-SLICE = 256
+#: Rows and bytes of text that a Python kernel handles at a time.
+SLICE, SLICE_BYTES = 256, 3 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,9 +34,20 @@ def bucket_of(key: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(modulus))
 
 
-def slices(batch: pa.RecordBatch, rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def slices(batch: pa.RecordBatch, rows: int = SLICE, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of at most `rows` rows with at most `size` bytes of strings together; a longer row goes alone."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+            total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    at = held = 0
+    for k, n in enumerate(total.tolist()):
+        if k > at and (held + n > size or k - at == rows):
+            yield batch.slice(at, k - at)
+            at, held = k, 0
+        held += n
+    if at < batch.num_rows:
+        yield batch.slice(at)
 
 
 def raw(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

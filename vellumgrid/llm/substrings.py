@@ -21,13 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellumgrid.llm.common import raw, table, text_of
+from vellumgrid.llm.common import raw, slices, table, text_of
 from vellumgrid.storage import write_table
 
 WINDOW_WORDS = 20
 ANCHOR_WORDS = 6
-#: Bytes of text that a kernel handles at a time; a longer text goes alone.
-SLICE_BYTES = 3 << 20
 #: Words whose hash a worker remembers.
 REMEMBERED = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -48,19 +46,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def by_bytes(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with at most `most` bytes of text together, or one row."""
-    sizes = [len(x) for x in raw(batch)]
-    at = total = 0
-    for k, n in enumerate(sizes):
-        if k > at and total + n > most:
-            yield batch.slice(at, k - at)
-            at, total = k, 0
-        total += n
-    if at < batch.num_rows:
-        yield batch.slice(at)
-
-
 class Words:
     """Hashes of the words of some texts in one array, and where each text begins."""
 
@@ -127,7 +112,7 @@ _OCCURRENCE = "key long, detail long, doc long, tag int, start int, windows int,
 def _find_anchors(window: int, k: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch):
+            for part in slices(batch, 1 << 20):
                 words = Words(raw(part))
                 key, at, low, high = anchors(words, window, k)
                 if not len(key):
@@ -143,7 +128,7 @@ def _find_anchors(window: int, k: int):
 def _find_windows(window: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch):
+            for part in slices(batch, 1 << 20):
                 words = Words(raw(part))
                 spots = part.column(3).to_pylist()
                 rows = [(k, x["key"], x["start"], x["windows"]) for k, found in enumerate(spots) for x in found]
