@@ -67,7 +67,17 @@ def test_order_of_rules_changes_no_verdict(spark):
     assert cases.multiset(a) == cases.multiset(b)
     found = quality.estimate(df)
     ratios = [-share / cost for _, cost, share in found]
-    assert ratios == sorted(ratios)
+    assert ratios == sorted(ratios) and {r.name for r, *_ in found} == {r.name for r in quality.rules()}
+
+
+def test_slow_rules_go_last(spark):
+    """Two rules that reject alike, one of which takes far longer, and a rule that rejects nothing."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    fast = F.col("n_words") < 100
+    slow = F.aggregate(F.sequence(F.lit(1), F.lit(3000)), F.lit(0).cast("long"), lambda a, x: a + F.pmod(x * F.col("n_words"), F.lit(7))) < 0
+    for _ in range(3):
+        order = [r.name for r, *_ in quality.estimate(df, [quality.Rule("a_slow", fast | slow), quality.Rule("b_slow_and_idle", slow), quality.Rule("c_fast", fast), quality.Rule("d_idle", F.lit(False))])]
+        assert order == ["c_fast", "a_slow", "d_idle", "b_slow_and_idle"]
 
 
 def targets(sizes: dict) -> dict:
