@@ -1,9 +1,15 @@
-"""Near copies by the Jaccard similarity of word shingles: candidates by banded min-hashes, each confirmed on the whole sets.
+"""The SimHash operator at a Jaccard similarity of word shingles: fingerprints and pigeonring filtering, each link confirmed on whole sets.
+
+At 0.8, fingerprints of 64 bits differ in 10 bits on average and seldom in over 20. A ring that allows so many has no segment that
+could be a join key. So links come in two steps. Very near texts are those that `simhash.near_links` finds by its own keys.
+For the others, keys are bands of min-hashes, and the ring of fingerprints (at most MOST_DIFFERENCE bits, five standard deviations above
+the mean at 0.8) prunes candidates before their texts are read.
 
 Texts with equal words are one node before anything is joined. A node has 40 band keys of five min-hashes each; two nodes of
 similarity s share none with a chance of (1 - s^5)^40, which is 1.3e-7 at 0.8 and less above. Nodes that share a key are first
 confirmed against the smallest and the largest node of that key, so a group of copies becomes one component without a list of
-its pairs; then all pairs of a key that are still in different components are confirmed. Pairs inside a component can't change it.
+its pairs; then pairs of a key that are still in different components are confirmed. Pairs inside a component can't change it, and
+those of a key's largest component are never made.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumgrid.llm import simhash
 from vellumgrid.llm.common import raw, slices
 from vellumgrid.operators.components import connected_components
 from vellumgrid.storage import write_table
@@ -24,7 +31,9 @@ from vellumgrid.storage import write_table
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 5
-SEED = 42
+#: Bits in which fingerprints of a candidate pair may differ.
+MOST_DIFFERENCE = 24
+SEED = simhash.SEED
 #: Shingles met by all min-hashes at a time.
 BLOCK = 1 << 12
 _FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,20 +75,27 @@ def similarity(a: bytes, b: bytes) -> float:
     return shared / (len(both) - shared) if len(both) else 1.0
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set of shingles; 0 if it is empty."""
+    votes = simhash.Votes()
+    for at in range(0, len(found), simhash.BLOCK):
+        votes.add(found[at : at + simhash.BLOCK])
+    return votes.fingerprint()
+
+
 def _described(docs: DataFrame) -> DataFrame:
-    """All columns with node, n (distinct shingles) and keys; an empty text has no key, as it only equals empty ones."""
+    """row and text of docs with node, n (distinct shingles), fp and keys; an empty text has no key, as it only equals empty ones."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 texts = [words_of(x) for x in raw(part)]
                 sets = [shingles(w) for w in texts]
-                nodes = np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in texts], np.uint64).view(np.int64)
+                nodes, fps = (np.array(x, np.uint64).view(np.int64) for x in ([xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in texts], list(map(fingerprint, sets))))
                 keys = pa.array([band_keys(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), keys], names=[*part.schema.names, "node", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps), keys], names=["row", "node", "n", "fp", "keys"])
 
-    schema = docs.withColumns({"node": F.lit(0).cast("long"), "n": F.lit(0), "keys": F.array().cast("array<long>")}).schema
-    return docs.mapInArrow(kernel, schema)
+    return docs.select("row", F.col("text").cast("string").alias("text")).mapInArrow(kernel, "row long, node long, n int, fp long, keys array<long>")
 
 
 def _confirmed(pairs: DataFrame, rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -95,8 +111,8 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, texts: DataFrame, least: float
             good = [similarity(a, b) >= least for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(texts, "node").select("row")
-    held = write_table(rows.join(wanted, "row").select("node", "text").mapInArrow(sets, "node long, shingles binary"), "shingles")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(texts, "node").select("row", "node")
+    held = write_table(rows.select("row", F.col("text").cast("string").alias("text")).join(wanted, "row").select("node", "text").mapInArrow(sets, "node long, shingles binary"), "shingles")
     a, b = (held.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "uv")
     return write_table(pairs.join(a, "u").join(b, "v").select("u", "v", "u_set", "v_set").mapInArrow(kernel, "u long, v long"), "confirmed")
 
@@ -104,35 +120,55 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, texts: DataFrame, least: float
 def with_components(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """All columns of docs with row (distinct) and component: rows linked over similarities of `least` or more share one.
 
-    A null text counts as empty; all empty texts are copies of each other.
+    A null text counts as empty; all empty texts are copies of each other, and so are texts that differ in case (A-Z) or white space
+    only. Repeated rows stay repeated. Input columns named row or component are replaced.
     """
-    rows = write_table(_described(docs.withColumn("row", F.monotonically_increasing_id())), "described")
-    nodes = write_table(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    names = [c for c in docs.columns if c not in ("row", "component")]
+    rows = write_table(docs.select(*(F.col(f"`{c}`") for c in names)).withColumn("row", F.monotonically_increasing_id()), "rows")
+    described = write_table(_described(rows), "described")
+    nodes = write_table(described.groupBy("node").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "fp", "keys"))), "nodes")
     texts = nodes.select("node", "row")
-    buckets = nodes.select("node", "n", F.explode("keys").alias("key"))
-    ends = buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high")).where("low.node < high.node")
+
+    # very near texts: by fingerprint, one node for each
+    of_fp = write_table(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    end = lambda x: of_fp.select(F.col("fp").alias(x), F.col("node").alias(f"{x}_node"))
+    ring = simhash.near_links(of_fp.select("fp")).distinct().join(end("u"), "u").join(end("v"), "v").select("u_node", "v_node")
+    alike = nodes.where("n > 0").join(of_fp.withColumnRenamed("node", "v_node"), "fp").where("node <> v_node").select(F.col("node").alias("u_node"), "v_node")
+    very_near = ring.unionByName(alike).select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v"))
+
+    # the others: by bands, pruned by size and by the ring of fingerprints
+    buckets = nodes.select("node", "n", "fp", F.explode("keys").alias("key"))
+    whole = F.struct("node", "n", "fp")
+    ends = buckets.groupBy("key").agg(F.min(whole).alias("low"), F.max(whole).alias("high")).where("low.node < high.node")
     shared = write_table(buckets.join(ends, "key"), "shared")
 
-    close = F.least("n", "m") >= F.greatest("n", "m") * (least - 1e-9)  # else the sizes alone keep them under `least`
-    to_ends = shared.select("node", "n", F.explode(F.array("low", "high")).alias("end")).select("node", "n", F.col("end.node").alias("end"), F.col("end.n").alias("m"))
-    first = to_ends.where("node <> end").where(close).select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v")).distinct()
-    tried = write_table(first, "tried")
+    close = (F.least("n", "m") >= F.greatest("n", "m") * (least - 1e-9)) & simhash.within_ring(F.col("fp"), F.col("gp"), MOST_DIFFERENCE)
+    to_ends = shared.select("node", "n", "fp", F.explode(F.array("low", "high")).alias("end")).select("node", "n", "fp", F.col("end.node").alias("end"), F.col("end.n").alias("m"), F.col("end.fp").alias("gp"))
+    first = to_ends.where("node <> end").where(close).select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v"))
+    tried = write_table(very_near.unionByName(first).distinct(), "tried")
     links = _confirmed(tried, rows, texts, least)
     found = connected_components(links, "near")
 
-    placed = write_table(shared.select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    open_ = placed.join(split, "key")
-    a, b = open_.select("key", F.col("node").alias("a"), "n", F.col("component").alias("ca")), open_.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
-    crossing = a.join(b, "key").where("ca < cb").where(close).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    placed = write_table(shared.select("key", "node", "n", "fp").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    in_key = placed.groupBy("key", "component").agg(F.count("*").alias("nodes"))
+    largest = in_key.groupBy("key").agg(F.max(F.struct("nodes", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.component").alias("top"))
+    open_ = write_table(placed.join(largest, "key").withColumn("main", F.col("component") == F.col("top")), "open")
+    a = open_.select("key", F.col("node").alias("a"), "n", "fp", F.col("component").alias("ca"), F.col("main").alias("main_a"))
+    b = open_.where("not main").select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("fp").alias("gp"), F.col("component").alias("cb"))
+    crossing = a.join(b, "key").where("ca <> cb and (main_a or ca < cb)").where(close).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     rest = write_table(crossing.join(tried, ["u", "v"], "left_anti"), "rest")
     found = connected_components(links.unionByName(_confirmed(rest, rows, texts, least)), "near")
-    return rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).select(*docs.columns, "row", "component")
+    by_row = described.select("row", "node").join(found, "node", "left").select("row", F.coalesce("component", "node").alias("component"))
+    return rows.join(by_row, "row").select(*(F.col(f"`{c}`") for c in names), "row", "component")
 
 
 def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row of each component, as it was: the one with the smallest doc_id (none comes last), then by a hash of the row."""
-    rows = with_components(docs, least)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "row")
+    """One row of each component, as it was: the one with the smallest doc_id (none comes last), then by a hash of the row.
+
+    Rows with a null or repeated doc_id are rows like any other. Columns named row or component aren't returned.
+    """
+    rows = write_table(with_components(docs, least), "components")
+    own = [c for c in rows.columns if c not in ("row", "component")]
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*(F.col(f"`{c}`") for c in own)), "row")
     kept = rows.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
-    return rows.join(kept, "row", "left_semi").select(*docs.columns)
+    return rows.join(kept, "row", "left_semi").select(*(F.col(f"`{c}`") for c in own))

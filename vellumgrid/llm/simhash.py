@@ -2,8 +2,8 @@
 
 A fingerprint of 64 bits is cut into a ring of five segments. If two fingerprints differ in at most four bits,
 some start on the ring has every chain of its consecutive segments within a proportional budget: the first l segments
-differ in at most l * 4 / 5 bits together. So the first segment is equal and the second differs in at most one bit;
-that pair of segments is the key of an equi-join, in which one side lists its single-bit changes. Longer chains and
+differ in at most l * 4 / 5 bits together. So the first segment is equal, the second differs in at most one bit and the third
+in what is left of two; these three segments are the key of an equi-join, whose sides list single-bit changes. All chains and
 then the whole distance are residual conditions of that join, so what fails them never leaves it.
 
 Equal fingerprints are one node before the join, and links join nodes by contraction, never by listing a group's pairs.
@@ -32,6 +32,20 @@ SEED = 42
 BLOCK = 1 << 15
 
 
+class Votes:
+    """Bits of hashes, counted in blocks; the fingerprint has a bit that over half of them have."""
+
+    def __init__(self) -> None:
+        self.ones, self.n = np.zeros(BITS, np.int64), 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.ones += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        self.n += len(hashes)
+
+    def fingerprint(self) -> int:
+        return int(np.packbits(2 * self.ones > self.n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, words_per_shingle: int = SHINGLE_WORDS) -> int:
     """The fingerprint of a UTF-8 text; 0 if it has no word."""
     words = text.lower().split()  # bytes: only A-Z change, only \x20 and \x09-\x0D separate
@@ -41,12 +55,10 @@ def fingerprint(text: bytes, words_per_shingle: int = SHINGLE_WORDS) -> int:
     k = min(words_per_shingle, len(words))
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends[: len(words) - k]]
-    hash_of, n = xxhash.xxh64_intdigest, len(starts)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, BLOCK):
-        hashes = np.array([hash_of(joined[a : b - 1], SEED) for a, b in zip(starts[at : at + BLOCK], ends[at + k - 1 : at + BLOCK + k - 1])], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    hash_of, votes = xxhash.xxh64_intdigest, Votes()
+    for at in range(0, len(starts), BLOCK):
+        votes.add(np.array([hash_of(joined[a : b - 1], SEED) for a, b in zip(starts[at : at + BLOCK], ends[at + k - 1 : at + BLOCK + k - 1])], "<u8"))
+    return votes.fingerprint()
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS) -> DataFrame:
@@ -76,33 +88,57 @@ def _segment(fp: Column, low: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
 
 
+def _chain_mask(ring: list[tuple[int, int]], start: int, length: int) -> int:
+    return _signed(sum(((1 << w) - 1) << low for low, w in (ring[(start + j) % len(ring)] for j in range(length))))
+
+
+def within_ring(u: Column, v: Column, max_difference: int, parts: int = 8) -> Column:
+    """Whether two fingerprints differ in at most max_difference bits: some start has all its chains within budget, the last of which is
+    the whole ring. For candidates from elsewhere; `near_links` finds its own."""
+    ring, differs = segments(parts), u.bitwiseXOR(v)
+
+    def from_start(k: int) -> Column:
+        chain = F.lit(True)
+        for length in range(1, parts):
+            chain &= F.bit_count(differs.bitwiseAND(F.lit(_chain_mask(ring, k, length)))) <= length * max_difference // parts
+        return chain
+
+    chained = from_start(0)
+    for k in range(1, parts):
+        chained |= from_start(k)
+    return chained & (F.bit_count(differs) <= max_difference)
+
+
 def near_links(nodes: DataFrame, max_difference: int = MAX_DIFFERENCE) -> DataFrame:
     """Links (u, v), u < v, between distinct fingerprints `fp` that differ in 1 to `max_difference` bits; a link may repeat.
 
-    The ring has max_difference + 1 segments, so a chain of l segments may differ in l * max_difference // parts bits:
-    0 for the first, at most 1 for the first two.
+    The ring has max_difference + 1 segments, so a chain of l segments may differ in l * max_difference // parts bits: 0 for the first,
+    at most 1 for the first two and 2 for the first three. These three are the key (38 bits of 64): one side lists the changes
+    of a bit in the second segment, the other those in the third, and a change that the key has room for but that meets both
+    ways is told apart by the residual conditions.
     """
     parts = max_difference + 1
     ring = segments(parts)
     fp = F.col("fp")
     index_keys, probe_keys = [], []
     for k in range(parts):
-        (low, width), (next_low, next_width) = ring[k], ring[(k + 1) % parts]
-        head = F.lit(k << 56).bitwiseOR(F.shiftleft(_segment(fp, low, width), 28))
-        follows = _segment(fp, next_low, next_width)
-        index_keys.append(head.bitwiseOR(follows))
-        allowed = 2 * max_difference // parts  # of the chain of two; its first segment has budget 0
-        probe_keys += [head.bitwiseOR(follows.bitwiseXOR(F.lit(change))) for change in [0, *(1 << b for b in range(next_width) if allowed)]]
-    index = nodes.select(fp.alias("v"), F.explode(F.array(*index_keys)).alias("key"))
-    probe = nodes.select(fp.alias("u"), F.explode(F.array(*probe_keys)).alias("key"))
+        (low, width), (second_low, second_width), (third_low, third_width) = (ring[(k + j) % parts] for j in range(3))
+        head = F.shiftleft(_segment(fp, low, width), second_width + third_width)
+        key = head.bitwiseOR(F.shiftleft(_segment(fp, second_low, second_width), third_width)).bitwiseOR(_segment(fp, third_low, third_width))
+        key = key.bitwiseOR(F.lit(k << 56))
+        ours = [0, *(1 << (third_width + b) for b in range(second_width)), *(1 << b for b in range(third_width))]
+        index_keys += [key.bitwiseXOR(F.lit(c)) for c in ([0, *(1 << b for b in range(third_width))] if max_difference > 1 else [0])]
+        probe_keys += [key.bitwiseXOR(F.lit(c)) for c in (ours if 2 * max_difference // parts else [0])]
+    # few rows make many, so the work is dealt out first, over a set number of partitions that small bytes don't make fewer
+    dealt = nodes.select(fp).repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    index = dealt.select(fp.alias("v"), F.explode(F.array(*index_keys)).alias("key"))
+    probe = dealt.select(fp.alias("u"), F.explode(F.array(*probe_keys)).alias("key"))
     differs = F.col("u").bitwiseXOR(F.col("v"))
     start = F.shiftrightunsigned(F.col("key"), 56).cast("int")
-    within = F.lit(True)
-    for length in range(3, parts):  # chains of one and two segments are in the key
-        masks = [_signed(sum(((1 << w) - 1) << low for low, w in (ring[(k + j) % parts] for j in range(length)))) for k in range(parts)]
-        mask = F.element_at(F.array(*map(F.lit, masks)), start + 1)
+    within = F.bit_count(differs) <= max_difference
+    for length in range(1, parts):
+        mask = F.element_at(F.array(*(F.lit(_chain_mask(ring, k, length)) for k in range(parts))), start + 1)
         within &= F.bit_count(differs.bitwiseAND(mask)) <= length * max_difference // parts
-    within &= F.bit_count(differs) <= max_difference
     return probe.join(index, "key").where((F.col("u") < F.col("v")) & within).select("u", "v")
 
 
@@ -115,11 +151,13 @@ def near_duplicates(docs: DataFrame, max_difference: int = MAX_DIFFERENCE, words
     rows = write_table(fingerprints(docs, words_per_shingle), "fingerprints")
     nodes = write_table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = connected_components(near_links(nodes, max_difference), "near")
-    rooted = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # both as tables, so that Spark may split the rows of a large component among tasks
+    rooted = write_table(nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "rooted")
+    named = write_table(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
     labels = rooted.join(named, "root").select("fp", "component_id")
     return rows.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; see `near_duplicates`."""
     return near_duplicates(table(spark, sf_dir, "documents"))
