@@ -140,4 +140,5 @@ def test_main_text(spark):
 
 
 def test_weights_keep_their_sign():
-    assert html_text.weight("<p>", 1000, 1) < 0 < html_text.weight("p p", 1, 1000)
+    w = html_text.Weights(html_text.table_of({html_text.bucket("<p>"): (1000, 1), html_text.bucket("p p"): (1, 1000)}))
+    assert w.of_kind("<p>") < 0 < w.of_kind("p p")
