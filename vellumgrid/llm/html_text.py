@@ -59,7 +59,7 @@ _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _PARTS = re.compile(r"[a-z0-9]+")
 #: Buckets of the table of weights, a power of 2.
 BUCKETS = 1 << 17
-LEAST_WEIGHT, MOST_WEIGHT, WORD_WEIGHT = 0.1, 3.0, 0.5
+LEAST_WEIGHT, MOST_WEIGHT, WORD_WEIGHT, HINTED_WEIGHT = 0.1, 3.0, 0.5, 0.05
 #: Log odds under which a container's name speaks against its words.
 OUTSIDE_ODDS = -1.0
 
@@ -293,7 +293,7 @@ def extract(page: str | None, weights: Weights | dict[int, float]) -> str:
         if p.text is None:
             scores.append(w.of_kind(p.kind))
         else:
-            each = max(-MOST_WEIGHT, against) if outside else LEAST_WEIGHT if w.hinted(p.names) else w.of_kind(p.kind)
+            each = max(-MOST_WEIGHT, against) if outside else HINTED_WEIGHT if w.hinted(p.names) else w.of_kind(p.kind)
             scores.append(each * len(p.text.split()))
     low, high = best_stretch(scores)
     blocks: dict[int, list[str]] = {}
