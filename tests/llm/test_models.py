@@ -88,6 +88,56 @@ def test_long_chain_equals_steps():
     assert np.allclose(found[:, -1], v)
 
 
+def test_gradient_of_the_field_equals_differences():
+    """The likelihood by forward-backward normalisers against its gradient."""
+    rnd = np.random.default_rng(3)
+    field = toxicity.Field(rnd.normal(size=6), 0.3, -0.5, rnd.normal(size=3), 0.2)
+    rows, toxic = [(5, [1, 2], [(1, 4), (2,)]), (0, [], []), (4, [0, 3], [(3, 5), (1,)])], [1, 0, 0]
+
+    def likelihood(x):
+        import itertools
+
+        f = toxicity.Field(x[:6], x[6], x[7], x[8:11], x[11])
+        count, at, found = toxicity._joined(rows)
+        u = f.scores(count, at, found)
+        total, begin = 0.0, 0
+        for (n, a, _), bad in zip(rows, toxic):
+            mine, labels = u[begin : begin + n], [int(bad and k in a) for k in range(n)]
+            begin += n
+            value = lambda y: sum(i * v for i, v in zip(y, mine)) + (f.start * y[0] if n else 0) + sum([[0, f.pairs[0]], [f.pairs[1], f.pairs[2]]][i][j] for i, j in zip(y, y[1:]))
+            total += value(labels) - math.log(sum(math.exp(value(y)) for y in itertools.product((0, 1), repeat=n)))
+        return total
+
+    x = np.concatenate([field.weights, [field.side, field.bias], field.pairs, [field.start]])
+    step = 1e-5 * np.eye(len(x))
+    want = [(likelihood(x + e) - likelihood(x - e)) / 2e-5 for e in step]
+    assert np.allclose(toxicity._gradient(rows, toxic, field)[:-1], want, atol=1e-6)
+
+
+def test_context_tells_uses_of_a_word_apart(spark):
+    """The same word after `you` is toxic, after `the` it isn't; both kinds of documents hold it."""
+    rnd = random.Random(9)
+    rows, labels = [], []
+    for k in range(900):
+        w = cases.prose(rnd, rnd.randint(8, 40)).split()
+        toxic = k % 3 == 0
+        for _ in range(2):
+            w[rnd.randrange(1, len(w) - 1) : 0] = []
+            at = rnd.randrange(len(w))
+            w[at:at] = ["you" if toxic else "the", "rotten"] if toxic or rnd.random() < 0.15 else []
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(toxic)))
+    scorer = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), toxicity.trains)
+    probe = spark.createDataFrame([(k, f"{rows[3 * k + 1][1]} {'you' if k % 2 else 'the'} rotten one") for k in range(200) if "rotten" not in rows[3 * k + 1][1]], "doc_id long, text string")
+    got = [(r.doc_id % 2, r.score) for r in toxicity.score(probe, scorer).collect()]
+    mean = lambda x: sum(s for k, s in got if k == x) / sum(k == x for k, _ in got)
+    assert mean(1) > mean(0) + 0.3
+
+
+def test_long_words_have_features():
+    assert toxicity.features_of(b"x" * 5000)[0] == b"w" + b"x" * 5000
+
+
 def labelled(spark):
     rnd = random.Random(8)
     bad, rows, labels = ["vile", "rotten", "scoundrel"], [], []

@@ -3,7 +3,9 @@
 Labels mark whole documents, so token labels come first. On a bounded sample of labelled training documents, the features of
 a token (its word and its beginnings) are counted by document in each class; those with a strong and significant excess
 in toxic documents are kept, and in toxic documents the tokens that have one are labelled toxic. A field with two states is
-fitted to these labels by distributed gradients; its features are the kept ones, and those of the words on both sides.
+fitted to these labels by distributed gradients. Its features are the kept ones, whether a neighbour has one, and what the labelling
+doesn't use: which words stand right before and after a token with a kept feature (hashed) and how far into the text it stands.
+So the same word can be toxic in one place and not in another.
 Forward-backward marginals then give a probability for each token. A document is scored from their sum and maximum by
 a logistic function fitted on the same documents; tokens over one half make the offending spans.
 """
@@ -11,6 +13,7 @@ a logistic function fitted on the same documents; tokens over one half make the
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,8 +29,14 @@ from vellumgrid.storage import write_table
 
 #: Labelled documents of each class that the classifier is fitted on, at most: the first by a hash of the id.
 SAMPLE_OF_CLASS = 8000
-#: Kept features, at most; least documents, excess and significance of one.
-FEATURES, LEAST_DOCUMENTS, LEAST_EXCESS, LEAST_G = 20_000, 4, 6.0, 24.0
+#: Least documents, excess and significance of a kept feature. The bounded sample bounds their number.
+LEAST_DOCUMENTS, LEAST_EXCESS, LEAST_G = 4, 6.0, 24.0
+#: Hash buckets of the word before, and as many of the word after; classes of place in a text.
+CONTEXT, PLACES = 1 << 13, 8
+#: Pull to 0 of kept features and of context.
+PULL, CONTEXT_PULL = 0.02, 0.5
+#: Tasks that sum a gradient, at most.
+GRADIENT_TASKS = 16
 STEPS = 40
 _TRIM = b".,;:!?\"'()[]{}<>*%#$&|-_"
 _CHUNK = 64
@@ -36,7 +45,7 @@ _CHUNK = 64
 def features_of(word: bytes) -> list[bytes]:
     """Of a lower-cased word: itself without punctuation around it, and its first 4 and 6 characters."""
     word = word.strip(_TRIM)
-    if not word or len(word) > 200:
+    if not word:
         return []
     letters = word.decode("utf-8", "ignore")
     return [b"w" + word, *(b"p" + letters[:k].encode() for k in (4, 6) if len(letters) > k)]
@@ -63,14 +72,14 @@ def count_features(docs: DataFrame) -> DataFrame:
 
 
 def select_features(counts: DataFrame, toxic: int, clean: int) -> list[bytes]:
-    """Features with an excess in toxic documents, most significant (log-likelihood ratio) first; a bounded number."""
+    """Features with an excess in toxic documents, most significant (log-likelihood ratio) first."""
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
     excess = ((a + 0.5) / (toxic + 1)) / ((b + 0.5) / (clean + 1))
     share, n = toxic / max(1, toxic + clean), a + b
     term = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     g = 2 * (term(a, n * share) + term(b, n * (1 - share)))
     kept = counts.where((a >= LEAST_DOCUMENTS) & (excess > LEAST_EXCESS)).withColumn("g", g).where(F.col("g") > LEAST_G)
-    return [bytes(r["feature"]) for r in kept.orderBy(F.desc("g"), "feature").limit(FEATURES).collect()]
+    return [bytes(r["feature"]) for r in kept.orderBy(F.desc("g"), "feature").collect()]
 
 
 class Tagger(dict):
@@ -88,12 +97,20 @@ class Tagger(dict):
             self[word] = found
         return found
 
+    @property
+    def width(self) -> int:
+        """Weights of a field over these features: one unused, the kept ones, words before and after, places."""
+        return 1 + len(self.number) + 2 * CONTEXT + PLACES
+
     def marked(self, text: bytes) -> tuple[int, list[int], list[tuple[int, ...]]]:
-        """Number of words, places of those with a kept feature, and their features."""
+        """Number of words, places of those with a kept feature, and their features with those of their context."""
         words = text.lower().split()
         found = list(map(self.__getitem__, words))
         at = [k for k, x in enumerate(found) if x]
-        return len(words), at, [found[k] for k in at]
+        before, n, low = [b"", *words], len(words), 1 + len(self.number)
+        hashed = lambda word: zlib.crc32(word.strip(_TRIM)) % CONTEXT
+        context = lambda k: (low + hashed(before[k]), low + CONTEXT + hashed(words[k + 1] if k + 1 < n else b""), low + 2 * CONTEXT + min(PLACES - 1, k.bit_length()))
+        return n, at, [found[k] + context(k) for k in at]
 
 
 @dataclass
@@ -230,17 +247,18 @@ def _gradient(rows, toxic: list[int], field: Field) -> np.ndarray:
     return np.append(g, len(rows))
 
 
-def fit_field(encoded: DataFrame, features: int, steps: int = STEPS) -> Field:
-    """encoded: (n, at, features, toxic) of the bounded sample. Gradients are summed by tasks; the driver takes resilient steps
-    (sign and own step size of each weight), with a weak pull to 0."""
+def fit_field(encoded: DataFrame, kept: int, width: int, steps: int = STEPS) -> Field:
+    """encoded: (n, at, features, toxic) of the bounded sample; of `width` weights the first are of `kept` features. Gradients are summed
+    by tasks; the driver takes resilient steps (sign and own step size of each weight), with a weak pull to 0."""
     context = encoded.sparkSession.sparkContext
-    x = np.zeros(features + 1 + 6)
-    x[: features + 1], x[features + 2] = 1.0, -5.0
+    x = np.zeros(width + 6)
+    x[: kept + 1], x[width + 1] = 1.0, -5.0
+    pull = np.concatenate([np.full(kept + 1, PULL), np.full(width - kept - 1, CONTEXT_PULL), np.zeros(6)])
     rate, last = np.full(len(x), 0.5), np.zeros(len(x))
+    dealt = encoded.coalesce(GRADIENT_TASKS)
 
     def as_field(x: np.ndarray) -> Field:
-        k = features + 1
-        return Field(x[:k], x[k], x[k + 1], x[k + 2 : k + 5], x[k + 5])
+        return Field(x[:width], x[width], x[width + 1], x[width + 2 : width + 5], x[width + 5])
 
     for _ in range(steps):
         shared = context.broadcast(as_field(x))
@@ -254,12 +272,11 @@ def fit_field(encoded: DataFrame, features: int, steps: int = STEPS) -> Field:
             if not isinstance(total, int):
                 yield pa.RecordBatch.from_pydict({"g": [total.tobytes()]})
 
-        parts = [np.frombuffer(r["g"]) for r in encoded.mapInArrow(kernel, "g binary").collect()]
+        parts = [np.frombuffer(r["g"]) for r in dealt.mapInArrow(kernel, "g binary").collect()]
         shared.unpersist()
         if not parts:
             break
-        g = sum(parts)
-        g = g[:-1] - 0.02 * x * (np.arange(len(x)) < features + 1)
+        g = sum(parts)[:-1] - pull * x
         turn = np.sign(g) * np.sign(last)
         rate = np.clip(np.where(turn > 0, rate * 1.2, np.where(turn < 0, rate * 0.5, rate)), 1e-4, 2.0)
         g = np.where(turn < 0, 0, g)
@@ -331,7 +348,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains, sample: int = SAMPLE_OF_CLAS
                 yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.list_(pa.int32()))), part.column(1).cast(pa.int32())], names=["n", "at", "features", "toxic"])
 
     encoded = write_table(rows.select("body", "toxic").mapInArrow(encode, "n int, at array<int>, features array<array<int>>, toxic int"), "encoded")
-    field = fit_field(encoded, len(features))
+    field = fit_field(encoded, len(features), Tagger(features).width)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,9 +367,9 @@ def score(docs: DataFrame, scorer: Scorer | None, prior: float = 0.0) -> DataFra
     """All input columns with score (0 to 1) and spans (start, end: code points of runs of toxic tokens, end exclusive).
 
     A null or empty text has the score of a text without a toxic token. Without a scorer every score is `prior`. Rows that repeat
-    stay repeated. Columns named score or spans are replaced.
+    stay repeated, a null doc_id stays null. Only input columns named score or spans are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("score", "spans")]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "spans")]
     spans_type = "array<struct<start:int,end:int>>"
     if scorer is None:
         return docs.select(*kept, F.lit(prior).cast("double").alias("score"), F.array().cast(spans_type).alias("spans"))
@@ -388,9 +405,11 @@ def score(docs: DataFrame, scorer: Scorer | None, prior: float = 0.0) -> DataFra
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and offending spans (start:end in code points, comma-joined) of every document; see `fit` and `score`."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     scorer = fit(docs, table(spark, sf_dir, "labels"), trains)
-    return score(docs, scorer).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return score(docs, scorer).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), spans.alias("spans"))
 
 
 def held_out(name: str) -> Column:
