@@ -56,6 +56,38 @@ def test_distributions_sum_to_one():
     assert total == pytest.approx(1, abs=1e-5)
 
 
+def test_gradient_equals_differences(monkeypatch):
+    s = language_model.Settings(head_classes=2, class_words=3, spelling_classes=2, symbols=8, inner_rows=16)
+    m = language_model.Model.started(np.arange(1, 7, dtype=float), np.ones(2), s)
+    rnd = np.random.default_rng(2)
+    m.outer[:] = rnd.normal(size=m.outer.shape)
+    m.inner[:] = rnd.normal(size=m.inner.shape)
+    m.outer, m.inner, m.bias, m.inner_bias = (x.astype(np.float64) for x in (m.outer, m.inner, m.bias, m.inner_bias))
+    features = np.stack([rnd.integers(0, 8, 40), 8 + rnd.integers(0, 8, 40), 16 + rnd.integers(0, 16, 40)])
+    cls = rnd.integers(0, 4, 40)
+    rank = np.where(cls < 2, cls * 3 + rnd.integers(0, 3, 40), language_model.Lexicon.NONE)
+    found = {id(m.outer): np.zeros(m.outer.shape), id(m.inner): np.zeros(m.inner.shape)}
+    monkeypatch.setattr(language_model, "_step", lambda weights, sums, met, row, gradient, rate: np.add.at(found[id(weights)], row, gradient))
+    m.learn(features, cls, rank, (None, None))
+    loss = lambda: -m.predict(features, cls, rank)[0].sum()
+    for weights in (m.outer, m.inner):
+        for at in np.ndindex(*weights.shape):
+            old = weights[at]
+            weights[at] = old + 1e-5
+            high = loss()
+            weights[at] = old - 1e-5
+            low = loss()
+            weights[at] = old
+            assert found[id(weights)][at] == pytest.approx((high - low) / 2e-5, abs=1e-5)
+
+
+def test_held_out_documents_beat_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = language_model.score_documents(docs.repartition(4, "doc_id"), bucket_of("doc_id", 7) == 2).where("held_out").collect()
+    assert sum(r.score > r.base_score for r in got) >= 0.9 * len(got)
+    assert sum(r.score for r in got) > 0.97 * sum(r.base_score for r in got)
+
+
 def test_no_documents(spark):
     assert language_model.score_documents(cases.empty(spark), F.lit(False), language_model.Settings(rounds=1)).count() == 0
 
