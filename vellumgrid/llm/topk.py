@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumgrid.llm.common import table
+from vellumgrid.storage import write_table
 
 TILE, SHARD = 512, 2048
 SCALE = 256
@@ -71,8 +72,8 @@ def top_k(vectors: DataFrame, k: int = 5, query_step: int = 50, scale: int = SCA
     queries = rows.where(F.col("vec_id") % query_step == 0).dropDuplicates(["vec_id"])
     tiles = _packed(queries, tile, "tile").select("tile", F.col("ids").alias("query_ids"), F.col("width").alias("query_width"), F.col("matrix").alias("query_matrix"))
     shards = _packed(rows, shard, "shard").select("shard", "ids", "width", "matrix")
-    # every tile meets every shard: a stated query set against all rows, in blocks
-    pairs = shards.crossJoin(tiles)
+    # every tile meets every shard: a stated query set against all rows, in blocks; both written once, as each meets many of the other
+    pairs = write_table(shards, "shards").crossJoin(write_table(tiles, "tiles"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,6 +99,7 @@ def top_k(vectors: DataFrame, k: int = 5, query_step: int = 50, scale: int = SCA
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best candidates of every query; see `top_k`."""
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
