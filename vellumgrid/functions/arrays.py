@@ -58,3 +58,25 @@ def routed(kind: Column, first: Column, second: Column) -> Column:
     weight = log_softmax(kind)
     part = lambda x, k: F.transform(log_softmax(x), lambda v: v + F.get(weight, F.lit(k)))
     return F.concat(part(first, 0), part(second, 1))
+
+
+#: Shares of red, green and blue in luminance.
+LUMINANCE = (0.2126, 0.7152, 0.0722)
+
+
+def luminance(red: Column, green: Column, blue: Column) -> Column:
+    return LUMINANCE[0] * red + LUMINANCE[1] * green + LUMINANCE[2] * blue
+
+
+def normalised(value: Column, mean: float = 0.5, deviation: float = 0.5) -> Column:
+    return (value - mean) / deviation
+
+
+def half_even(value: Column, digits: int) -> Column:
+    """Rounded to a number of digits, halves to the even digit."""
+    return F.bround(value, digits)
+
+
+def read_upright(items: Column, turned: Column) -> Column:
+    """An array in reading order: reversed where its line runs the other way."""
+    return F.when(turned, F.reverse(items)).otherwise(items)

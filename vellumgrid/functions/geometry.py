@@ -218,3 +218,26 @@ def corners(s: Segment, height: Column) -> Column:
 
 def cosine(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.try_divide(ax * bx + ay * by, F.sqrt(ax * ax + ay * ay) * F.sqrt(bx * bx + by * by))
+
+
+def turn(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
+    """Sign of the turn from a by b to c: 1 to the normal's side, -1 to the other, 0 in line."""
+    return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax)).cast("int")
+
+
+def dot(a: Segment, b: Segment) -> Column:
+    return a.dx * b.dx + a.dy * b.dy
+
+
+def square_distance(s: Segment) -> Column:
+    return s.dx * s.dx + s.dy * s.dy
+
+
+def chebyshev(s: Segment) -> Column:
+    """The longer of both sides of the box around two points."""
+    return F.greatest(F.abs(s.dx), F.abs(s.dy))
+
+
+def scaled(lines: DataFrame, factor: float, *extents: str) -> DataFrame:
+    """Coordinates, and columns that hold extents, times a factor."""
+    return lines.withColumns({c: F.col(c) * factor for c in ("x1", "y1", "x2", "y2", *extents)})

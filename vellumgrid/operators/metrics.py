@@ -71,3 +71,9 @@ def reading_method(words: DataFrame, key: str, length: str, few: int = 10, short
 def best_model(models: DataFrame) -> DataFrame:
     """The model with the highest accuracy, the first name of equal ones."""
     return models.orderBy(F.desc("accuracy"), "model").limit(1)
+
+
+def compare_models(first: DataFrame, second: DataFrame, key: str = "sample_id") -> DataFrame:
+    """(label, n, agree): by the first model's label, the samples that both have predicted and those they agree on."""
+    both = first.select(key, F.col("label").alias("label")).join(second.select(key, F.col("label").alias("other")), key)
+    return both.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("other")).alias("agree"))

@@ -294,3 +294,42 @@ def nearest_source(cells: DataFrame, sources: DataFrame, reach: int) -> DataFram
     spread = sources.select("source", F.col("r").alias("r0"), F.col("c").alias("c0"), F.explode(around).alias("o")).select("source", (F.col("r0") + F.col("o.dr")).alias("r"), (F.col("c0") + F.col("o.dc")).alias("c"), (F.col("o.dr") * F.col("o.dr") + F.col("o.dc") * F.col("o.dc")).alias("d2"))
     best = spread.where(F.col("d2") <= reach * reach).groupBy("r", "c").agg(F.min(F.struct("d2", "source")).alias("m"))
     return cells.join(best, ["r", "c"]).select("r", "c", "m.source", "m.d2")
+
+
+def oriented_crop(cells: DataFrame, boxes: DataFrame, key: str = "img") -> DataFrame:
+    """(key, r, c): set cells of an upright image of each box (key, x, y: the middle of its left side, ux, uy, width, height); cell (r, c)
+    shows the cell c along and r less half the height across, cut to whole numbers."""
+    size = lambda c: F.floor(F.col(c) + 0.5).cast("int")
+    out = boxes.where((F.col("width") >= 0.5) & (F.col("height") >= 0.5)).withColumns({"_h": size("height"), "_w": size("width")})
+    out = out.withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_h") - 1))).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_w") - 1)))
+    off = F.col("_r") - F.floor(F.col("_h") / 2)
+    source = out.select(key, F.col("_r"), F.col("_c"), (F.col("y") + F.col("_c") * F.col("uy") + off * F.col("ux")).cast("int").alias("r"), (F.col("x") + F.col("_c") * F.col("ux") - off * F.col("uy")).cast("int").alias("c"))
+    return source.join(cells.select(key, "r", "c").distinct(), [key, "r", "c"], "left_semi").select(key, F.col("_r").alias("r"), F.col("_c").alias("c"))
+
+
+def splat(cells: DataFrame, x: float, y: float, ux: float, uy: float, key: str = "img") -> DataFrame:
+    """Cells sent to a line's own coordinates (along, across) about a point, cut to whole numbers; cells that meet are one."""
+    dx, dy = F.col("c") - x, F.col("r") - y
+    return cells.select(key, (dy * ux - dx * uy).cast("int").alias("r"), (dx * ux + dy * uy).cast("int").alias("c")).distinct()
+
+
+def by_middle(parts: DataFrame, key: str = "img") -> DataFrame:
+    """(key, component, x, place): components from left to right by the mean of their columns, ties by name. parts: key, r, c, component."""
+    mean = parts.groupBy(key, "component").agg(F.avg("c").alias("x"))
+    return mean.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("x", "component")))
+
+
+def extents_along(points: DataFrame, key: str = "img") -> DataFrame:
+    """Of points (key, r, c, ux, uy: the group's direction): centroid, the least and greatest place along and across from it with the
+    points there (first by (r, c)), width, height and the middle of the box."""
+    c = F.col
+    middle = points.groupBy(key).agg(F.avg("c").alias("mx"), F.avg("r").alias("my"))
+    placed = points.join(middle, key).withColumns({"along": (c("c") - c("mx")) * c("ux") + (c("r") - c("my")) * c("uy"), "across": (c("r") - c("my")) * c("ux") - (c("c") - c("mx")) * c("uy")})
+    out = []
+    for name in ("along", "across"):
+        exact = F.round(name, 9)
+        out += [F.min(F.struct(exact.alias("v"), "r", "c")).alias(f"low_{name}"), F.min(F.struct((-exact).alias("v"), "r", "c")).alias(f"high_{name}")]
+    found = placed.groupBy(key, "mx", "my", "ux", "uy").agg(*out)
+    span = lambda n: -c(f"high_{n}.v") - c(f"low_{n}.v")
+    at = lambda n: (c(f"low_{n}.v") - c(f"high_{n}.v")) / 2
+    return found.withColumns({"width": span("along"), "height": span("across"), "box_x": c("mx") + at("along") * c("ux") - at("across") * c("uy"), "box_y": c("my") + at("along") * c("uy") + at("across") * c("ux")})

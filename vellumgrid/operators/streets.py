@@ -219,3 +219,33 @@ def flood_evidence(lines: DataFrame, flood: DataFrame, mask: DataFrame, short: f
     m = lambda name: F.max(F.when((F.col("name") == name) & F.col("m").isNull(), 1).otherwise(0))
     side = lambda x, y: 0.5 * f(f"{x}l") + 0.5 * f(f"{x}s") + 0.4 * m(f"{x}l") + 0.4 * m(f"{x}s") - 0.5 * f(f"{y}l") + 0.3 * m(f"{y}l")
     return seen.groupBy("line_id").agg(side("p", "n").alias("flood_p"), side("n", "p").alias("flood_n"))
+
+
+def long_lines(lines: DataFrame, least: float, key: str = "group_id") -> DataFrame:
+    """(key, length): long lines that take part: none of their lines is to be ignored (column ignore), and all together are long enough."""
+    return lines.groupBy(key).agg(F.sum(g.Segment.named().length).alias("length"), F.max(F.coalesce("ignore", F.lit(False))).alias("_out")).where(~F.col("_out") & (F.col("length") >= least)).drop("_out")
+
+
+#: Fixed value: the sum of branch, end and modern evidence up to which a side isn't worth a try.
+LEAST_SIDE_SCORE = 0.3
+
+
+def facing(pairs: DataFrame, a: str = "a_", b: str = "b_", least: float = LEAST_SIDE_SCORE) -> DataFrame:
+    """Pairs of long lines that may have a street between them: the side of each that faces the other has evidence over `least`.
+
+    pairs: for both prefixes x1..y2, score_p, score_n (sums of evidence). The side is the one of the other's middle seen from its own.
+    """
+    s, t = g.Segment.named(a), g.Segment.named(b)
+    (sx, sy), (tx, ty) = g.midpoint(s), g.midpoint(t)
+    side = lambda line, k, dx, dy: F.when(g.beside(line, dx, dy), F.col(f"{k}score_p")).otherwise(F.col(f"{k}score_n")) > least
+    return pairs.where(side(s, a, tx - sx, ty - sy) & side(t, b, sx - tx, sy - ty))
+
+
+#: The length from which a street may lie askew, how far its direction may be from the map's at its place, the least length.
+LONG_STREET, LEAST_ALIGNMENT, LEAST_STREET = 600, 0.8, 100
+
+
+def carvable(width: Column, ux: Column, uy: Column, local_x: Column, local_y: Column) -> Column:
+    """Whether a street is carved: long enough, and long or along the direction that the map has at its place."""
+    aligned = F.abs(ux * local_x + uy * local_y)
+    return ~(((width < LONG_STREET) & (aligned < LEAST_ALIGNMENT)) | (width < LEAST_STREET))
