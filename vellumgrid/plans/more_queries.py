@@ -102,6 +102,12 @@ def disks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DISK_SQL = f"WITH {fx.CELLS}, s AS (SELECT kind AS img, r, c, (r % 3) * (r % 3) + 1 AS d2 FROM cell WHERE {fx.PEAK}) SELECT DISTINCT img, CAST(s.r + a AS INTEGER) AS r, CAST(s.c + b AS INTEGER) AS c FROM s, range(-3, 4) AS x(a), range(-3, 4) AS y(b) WHERE a * a + b * b < d2"
 
+FIT_SQL = f"""
+WITH {fx.CELLS}, s AS (SELECT kind AS img, r - min(r) OVER w AS r, c - min(c) OVER w AS c FROM cell WHERE {fx.THICK} WINDOW w AS (PARTITION BY kind)),
+n AS (SELECT *, greatest(max(r) OVER w, max(c) OVER w) + 1 AS n FROM s WINDOW w AS (PARTITION BY img)), f AS (SELECT DISTINCT img, r * 20 // n AS r, c * 20 // n AS c FROM n),
+t AS (SELECT img, r - min(r) OVER w AS r, c - min(c) OVER w AS c FROM f WINDOW w AS (PARTITION BY img)), z AS (SELECT *, max(r) OVER w + 1 AS h, max(c) OVER w + 1 AS v FROM t WINDOW w AS (PARTITION BY img))
+SELECT img, CAST(r + (20 - h) // 2 AS INTEGER) AS r, CAST(c + (20 - v) // 2 AS INTEGER) AS c FROM z"""
+
 QUERIES = {
     "q_line_transforms": transforms,
     "q_vertex_pairs": vertex_pairs,
@@ -119,6 +125,7 @@ SQL = {
     "q_flood_evidence": FLOOD_SQL,
     "q_rotate": f"WITH {fx.CELLS}, s AS (SELECT kind AS img, r - 24 AS r, c - 24 AS c FROM cell WHERE {fx.SPARSE}) SELECT DISTINCT img, CAST(floor(24 + r * cos(radians(30)) - c * sin(radians(30)) + 0.5) AS INTEGER) AS r, CAST(floor(24 + r * sin(radians(30)) + c * cos(radians(30)) + 0.5) AS INTEGER) AS c FROM s",
     "q_centre": CENTRED_SQL,
+    "q_fit_square": FIT_SQL,
     "q_deskew": f"WITH {fx.CELLS} SELECT kind AS img, round(-covar_pop(r, c) / var_pop(r), 6) AS slope FROM cell WHERE {fx.THICK} GROUP BY 1",
     "q_nearest_curb": NEAREST_SQL,
     "q_disks": DISK_SQL,

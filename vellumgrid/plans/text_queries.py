@@ -42,16 +42,16 @@ def close_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ctc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes are k modulo 8 of a user's events, by id."""
-    e = fx.table(spark, sf_dir, "events").select("user_id", "event_id", (F.get_json_object("props", "$.k").cast("int") % 8).alias("t"))
-    seq = e.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "t"))), lambda x: x["t"]).alias("c"))
-    return seq.select("user_id", text.ctc_text(F.col("c")).alias("decoded"))
+    """Classes are k modulo 8 of a user's events, by id; a sequence has those of 20,000 ids at most."""
+    e = fx.table(spark, sf_dir, "events").select("user_id", F.floor(F.col("event_id") / 20_000).alias("part"), "event_id", (F.get_json_object("props", "$.k").cast("int") % 8).alias("t"))
+    seq = e.groupBy("user_id", "part").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "t"))), lambda x: x["t"]).alias("c"))
+    return seq.select("user_id", "part", text.ctc_text(F.col("c")).alias("decoded"))
 
 
 CTC_SQL = """
-WITH e AS (SELECT user_id, event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) % 8 AS t FROM events),
-l AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM e)
-SELECT user_id, coalesce(string_agg(CASE WHEN t <> 0 AND (b IS NULL OR b <> t) THEN substr('0123456789abcdefghijklmnopqrstuvwxyz', t, 1) END, '' ORDER BY event_id), '') AS decoded FROM l GROUP BY 1"""
+WITH e AS (SELECT user_id, event_id // 20000 AS part, event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) % 8 AS t FROM events),
+l AS (SELECT *, lag(t) OVER (PARTITION BY user_id, part ORDER BY event_id) AS b FROM e)
+SELECT user_id, part, coalesce(string_agg(CASE WHEN t <> 0 AND (b IS NULL OR b <> t) THEN substr('0123456789abcdefghijklmnopqrstuvwxyz', t, 1) END, '' ORDER BY event_id), '') AS decoded FROM l GROUP BY 1, 2"""
 
 
 def wordlist(spark: SparkSession, sf_dir: str) -> DataFrame:
