@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellumgrid.llm import bpe, html_text, language_model, mixing, quality, secret_scan, simhash, substrings, topk, toxicity
+from vellumgrid.llm import alignment, bpe, filter_audit, html_text, language_id, language_model, mixing, quality, secret_scan, simhash, substrings, topk, toxicity
 
 QUERIES = {
     "op1_language_model": language_model.op1_language_model,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_substrings": substrings.op8_substrings,
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_language_id": language_id.op13_language_id,
 }
 SQL = {
     "op5_topk": topk.OP5_SQL,
     "op8_substrings": substrings.OP8_SQL,
     "op9_quality": quality.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
 }
