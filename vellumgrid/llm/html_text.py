@@ -53,6 +53,10 @@ SECTIONS = OUTSIDE_TAGS | {"section", *ARTICLE}
 _CLOSES = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table select body article main section div aside nav form header footer blockquote".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[?!][^>]*>|<(/?)([a-zA-Z][^\s/>]*)|[^<]+|<", re.S)
+#: Behind the last > of a page: there neither a declaration nor a tag ends.
+_TOKEN_AT_END = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)|[^<]+|<", re.S)
+#: Decimal references: zeros that don't count, and values over the last code point.
+_ZEROS, _TOO_GREAT = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[1-9][0-9]{7,};?")
 _TO_QUOTE = re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
@@ -68,6 +72,13 @@ def bucket(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
 
 
+def unescaped(text: str) -> str:
+    """Character references decoded; a number over the last code point, however long, is U+FFFD."""
+    if "&#" in text:
+        text = _TOO_GREAT.sub("\ufffd", _ZEROS.sub("&#", text))
+    return html.unescape(text)
+
+
 def _attributes(text: str) -> dict[str, str]:
     """Lower-case values by lower-case name; the first of a name holds. An attribute without a value is empty."""
     found: dict[str, str] = {}
@@ -124,6 +135,8 @@ class _Open:
 
 def _end_of_tag(page: str, at: int, quotes: bool, last: dict[str, int]) -> int:
     """Where a tag's > stands, from behind its name; -1 if it has none. A quote that nothing closes is a character like others."""
+    if at > last[">"]:
+        return -1
     if not quotes:
         return page.find(">", at)
     while True:
@@ -145,7 +158,7 @@ def pieces(page: str) -> Iterator[Piece]:
     places: dict[str, list[int]] = {}  # of each open tag
     out = marked = outside = block = 0
     at, n, quotes = 0, len(page), True
-    last = {q: page.rfind(q) for q in "\"'"}
+    last = {q: page.rfind(q) for q in "\"'>"}
 
     def drop_to(k: int) -> None:
         nonlocal out, marked, outside
@@ -158,19 +171,19 @@ def pieces(page: str) -> Iterator[Piece]:
         return Piece(kind, text, block, counts, marked > 0 and not outside, stack[-1].names if stack else ())
 
     while at < n:
-        m = _TOKEN.match(page, at)
+        m = (_TOKEN if at <= last[">"] else _TOKEN_AT_END).match(page, at)
         at, tag = m.end(), m[2]
         if tag is None:
             if m[0][0] != "<" or m[0] == "<":
-                yield piece(f"{stack[-1].block} {stack[-1].tag}" if stack else " ", html.unescape(m[0]), not out)
+                yield piece(f"{stack[-1].block} {stack[-1].tag}" if stack else " ", unescaped(m[0]), not out)
             elif m[0].startswith("<![CDATA["):
                 yield piece("cdata", m[0][9:].removesuffix("]]>"), not out)
             continue
         end = _end_of_tag(page, at, quotes, last)
         if end < 0 and quotes:
-            quotes, end = False, page.find(">", at)
+            quotes, end = False, _end_of_tag(page, at, False, last)
         if end < 0:
-            yield piece(f"{stack[-1].block} {stack[-1].tag}" if stack else " ", html.unescape(m[0]), not out)
+            yield piece(f"{stack[-1].block} {stack[-1].tag}" if stack else " ", unescaped(m[0]), not out)
             continue
         inside, at, tag = page[at:end], end + 1, tag.lower()
         if m[1]:
