@@ -57,10 +57,20 @@ def orientation_vote(df: DataFrame, key: str, kind: str, up: str, down: str) ->
     return df.groupBy(key).agg(v.cast("long").alias("votes"), (v > 0).alias("flipped"))
 
 
+def ordered_entropy(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, entropy): natural entropy of the values of a key to 9 digits, ln n - sum(k ln k) / n over the counts k in order of size,
+    so that equal counts have equal entropies however rows arrive. Null values don't count; a key without any has null."""
+    k = df.groupBy(key, value).agg(F.count(value).cast("double").alias("_k"))
+    counts = k.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("_k") > 0, F.col("_k")))).alias("_ks"))  # one number a value
+    n, s = (F.aggregate("_ks", F.lit(0.0), f) for f in (lambda a, x: a + x, lambda a, x: a + x * F.log(x)))
+    return counts.select(key, F.when(F.size("_ks") > 0, F.round(F.log(n) - s / n, 9)).alias("entropy"))
+
+
 def flipped_by_entropy(df: DataFrame, key: str, upright: str, turned: str) -> DataFrame:
-    """(key, flipped): whether the first characters read turned are more ordered than upright; keys without a value turn over."""
-    a, b = entropy_by(df, key, upright).withColumnRenamed("entropy", "ea").select(key, "ea"), entropy_by(df, key, turned).withColumnRenamed("entropy", "eb").select(key, "eb")
-    return a.join(b, key).select(key, F.coalesce(~(F.col("ea") <= F.col("eb")), F.lit(True)).alias("flipped"))
+    """(key, flipped): whether the first characters read turned are more ordered than upright; equal ones stay, keys without a value on
+    either side turn over."""
+    a, b = (ordered_entropy(df, key, value).withColumnRenamed("entropy", name) for value, name in ((upright, "ea"), (turned, "eb")))
+    return a.join(b, key, "full").select(key, F.coalesce(F.col("ea") > F.col("eb"), F.lit(True)).alias("flipped"))
 
 
 def reading_method(words: DataFrame, key: str, length: str, few: int = 10, short: int = 2) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumgrid.functions import arrays as a
+from vellumgrid.storage import write_table
 
 #: What stands for no character in an alignment, and the alphabet of class numbers.
 EMPTY = "%"
@@ -59,9 +62,10 @@ def alignments(pairs: DataFrame, costs: dict[tuple[str, str], float] | None = No
     return pairs.mapInPandas(kernel, schema)
 
 
-def tally(aligned: DataFrame) -> DataFrame:
-    """(o, i, n): how often each pair of characters was aligned."""
-    return aligned.select(F.explode("steps").alias("s")).groupBy("s.o", "s.i").agg(F.count("*").alias("n"))
+def tally(aligned: DataFrame, times: str | None = None) -> DataFrame:
+    """(o, i, n): how often each pair of characters was aligned; times: a column that says how often a row counts."""
+    n = F.count("*") if times is None else F.sum("t")
+    return aligned.select((F.lit(1) if times is None else F.col(times)).alias("t"), F.explode("steps").alias("s")).groupBy("s.o", "s.i").agg(n.cast("long").alias("n"))
 
 
 def conditional(counts: DataFrame) -> DataFrame:
@@ -69,20 +73,26 @@ def conditional(counts: DataFrame) -> DataFrame:
     return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("i")))
 
 
-def train_costs(pairs: DataFrame, most_rounds: int = 20) -> tuple[DataFrame, int]:
+def train_costs(pairs: DataFrame, most_rounds: int | None = None) -> tuple[DataFrame, int]:
     """Align, count, align with the new costs, until no count changes. Returns (o, i, n, p) and the number of rounds.
 
-    The cost table has a row for each pair of characters, so the driver holds it whole.
+    Pairs that repeat are aligned once and counted as often as they stand. Raises if counts still change after most_rounds, or come back
+    to those of an earlier round other than the last, as they would then go round for ever. The cost table has a row for each pair of
+    characters, so the driver holds it whole.
     """
-    costs, before = None, None
-    for number in range(1, most_rounds + 1):
-        now = conditional(tally(alignments(pairs, costs)))
+    distinct = write_table(pairs.groupBy("observed", "intended").agg(F.count("*").alias("times")), "pairs")
+    costs, before, seen = None, None, set()
+    for number in count(1) if most_rounds is None else range(1, most_rounds + 1):
+        now = conditional(tally(alignments(distinct, costs), "times"))
         rows = sorted(now.collect())
-        found = [(r["o"], r["i"], r["n"]) for r in rows]
+        found = tuple((r["o"], r["i"], r["n"]) for r in rows)
         if found == before:
+            return pairs.sparkSession.createDataFrame([tuple(r) for r in rows], now.schema), number
+        if hash(found) in seen:
             break
+        seen.add(hash(found))
         before, costs = found, {(r["o"], r["i"]): r["p"] for r in rows}
-    return pairs.sparkSession.createDataFrame([tuple(r) for r in rows], now.schema), number
+    raise ValueError(f"costs did not settle in {number} rounds")
 
 
 def close_key_mass(counts: DataFrame, keys: DataFrame) -> DataFrame:

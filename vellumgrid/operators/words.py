@@ -83,15 +83,17 @@ def check_words(parts: DataFrame, check: WordCheck, key: str = "word_id") -> Dat
     return parts.select(key).distinct().join(found, key, "left").select(key, F.coalesce("parts", F.lit(0)).cast("long").alias("parts"), F.coalesce("passes", F.lit(False)).alias("passes"))
 
 
-def touching_overlap(left: DataFrame, right: DataFrame, pixels: int = 1, most: int = 7, key: str = "pair") -> DataFrame:
+def touching_overlap(left: DataFrame, right: DataFrame, pixels: int = 1, most: int = 7, key: str = "pair", widths: DataFrame | None = None) -> DataFrame:
     """(key, overlap): by how many columns the right image must slide over the left one until `pixels` cells coincide; not over most + 1,
     nor as far as a whole image, and 1 if the bound of the images comes first.
 
-    left: key, r, c, width; right: the same. Cells coincide at one slide each, so the slides of all pairs of cells of a row are counted.
+    left: key, r, c, width; right: the same. widths: (key, wa, wb) of all pairs; without it pairs are those with a set cell, and an image
+    without one is as wide as the other. An empty image touches nothing. Cells coincide at one slide each, so the slides of all pairs of cells of a row are counted.
     """
     a = left.select(key, "r", F.col("c").alias("ca"), F.col("width").alias("wa"))
     b = right.select(key, "r", F.col("c").alias("cb"), F.col("width").alias("wb"))
-    widths = a.groupBy(key).agg(F.max("wa").alias("wa")).join(b.groupBy(key).agg(F.max("wb").alias("wb")), key)
+    if widths is None:
+        widths = a.groupBy(key).agg(F.max("wa").alias("wa")).join(b.groupBy(key).agg(F.max("wb").alias("wb")), key, "full").select(key, F.coalesce("wa", "wb").alias("wa"), F.coalesce("wb", "wa").alias("wb"))
     slide = F.col("wa") - F.col("ca") + F.col("cb")
     met = a.join(b, (a[key] == b[key]) & (a["r"] == b["r"]) & slide.between(1, most + 1)).groupBy(a[key].alias(key), slide.alias("slide")).agg(F.count("*").alias("n")).where(F.col("n") >= pixels)
     first = met.groupBy(key).agg(F.min("slide").alias("slide"))

@@ -3,7 +3,7 @@
 Segments: coordinates are 1000 times the first four components of an embedding. Old streets have labels under 5, present ones the
 others. A long line is a label. Markings are components 8 and 9, size from component 10. Characters are components
 4 and 5 times 3000, with width and height from 6 and 7. A spectrum is the absolute components over their sum. Cells of small grids are
-(user_id, k) of events; a cell of a small grid is set by how its events compare with an even spread.
+(user_id, k) of events; a cell of a small grid is set by its place among those of its kind.
 """
 
 from __future__ import annotations
@@ -77,10 +77,11 @@ SPECTRA = (
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(kind, r, c, n, total) on a 48 x 48 grid: events of a kind in a cell, and in all of them."""
+    """(kind, r, c, n, place) on a 48 x 48 grid: events of a kind in a cell, and the cell's place among those of its kind, most events first."""
     e = placed_events(spark, sf_dir)
     counted = e.groupBy("kind", "r", "c").agg(F.count("*").alias("n"))
-    return counted.withColumn("total", F.sum("n").over(Window.partitionBy("kind")))
+    order = Window.partitionBy("kind").orderBy(F.desc("n"), (F.col("r") * 31 + F.col("c") * 17) % 101, "r", "c")
+    return counted.withColumn("place", F.row_number().over(order))
 
 
 def placed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +91,45 @@ def placed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CELLS = (
     "ev AS (SELECT event_type AS kind, CAST(user_id % 48 AS INTEGER) AS r, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 48 AS INTEGER) AS c FROM events WHERE user_id IS NOT NULL AND json_extract_string(props, '$.k') IS NOT NULL),"
-    " cn AS (SELECT kind, r, c, count(*) AS n FROM ev GROUP BY ALL), cell AS (SELECT *, sum(n) OVER (PARTITION BY kind) AS total FROM cn)"
+    " cn AS (SELECT kind, r, c, count(*) AS n FROM ev GROUP BY ALL), cell AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, (r * 31 + c * 17) % 101, r, c) AS place FROM cn)"
+)
+#: So many cells of a kind with the most events, of 2,304 at most: thresholds by rank leave as many however large the tables are.
+THICK, SPARSE, PEAK = "place <= 1400", "place <= 500", "place <= 120"
+
+#: Side of a figure's image, and vectors that share one.
+FIGURE_SIDE, FIGURE_VECTORS = 64, 20
+
+
+def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(img, r, c): disks around the first two components of vectors, as wide as the third; 20 vectors share an image of 64 x 64."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id is not null")
+    disks = e.select(F.floor(F.col("vec_id") / FIGURE_VECTORS).alias("img"), (component(0, 160.0) + 32).alias("x"), (component(1, 160.0) + 32).alias("y"), (F.abs(component(2, 24.0)) + 2).alias("radius"))
+    span = lambda v: F.sequence(F.greatest(F.ceil(F.col(v) - F.col("radius")).cast("int"), F.lit(0)), F.least(F.floor(F.col(v) + F.col("radius")).cast("int"), F.lit(FIGURE_SIDE - 1)))
+    on = lambda v: (F.col(v) + F.col("radius") >= 0) & (F.col(v) - F.col("radius") <= FIGURE_SIDE - 1)
+    cells = disks.where(on("x") & on("y")).withColumn("r", F.explode(span("y"))).withColumn("c", F.explode(span("x")))
+    dx, dy = F.col("c") - F.col("x"), F.col("r") - F.col("y")
+    return cells.where(dx * dx + dy * dy <= F.col("radius") * F.col("radius")).select("img", "r", "c").distinct()
+
+
+FIGURES = (
+    "disk AS (SELECT vec_id // 20 AS img, CAST(embedding[1] AS DOUBLE) * 160 + 32 AS x, CAST(embedding[2] AS DOUBLE) * 160 + 32 AS y, abs(CAST(embedding[3] AS DOUBLE) * 24) + 2 AS radius FROM embeddings),"
+    " axis AS (SELECT CAST(unnest(range(64)) AS INTEGER) AS v),"
+    " fig AS (SELECT DISTINCT img, r.v AS r, c.v AS c FROM disk JOIN axis r ON abs(r.v - y) <= radius JOIN axis c ON abs(c.v - x) <= radius WHERE (c.v - x) * (c.v - x) + (r.v - y) * (r.v - y) <= radius * radius)"
+)
+
+
+def grey_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(img, r, c, v, red, green, blue): images of 48 users each, a row a user, a column for k; values tell events of the cell by kind."""
+    e = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("u"), F.floor(F.col("user_id") / 48).cast("string"), F.lit(".png")).alias("img"), (F.col("user_id") % 48).cast("int").alias("r"), (F.get_json_object("props", "$.k").cast("long") % 48).cast("int").alias("c"), "event_type"
+    ).where("r is not null and c is not null")
+    shade = lambda n: F.least(n * 37, F.lit(255)).cast("int")
+    kind = lambda k: shade(F.count_if(F.col("event_type") == k))
+    return e.groupBy("img", "r", "c").agg(shade(F.count("*")).alias("v"), kind("click").alias("red"), kind("view").alias("green"), kind("purchase").alias("blue"))
+
+
+GREYS = (
+    "spot AS (SELECT 'u' || (user_id // 48) || '.png' AS img, CAST(user_id % 48 AS INTEGER) AS r, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 48 AS INTEGER) AS c, event_type FROM events WHERE user_id IS NOT NULL AND json_extract_string(props, '$.k') IS NOT NULL),"
+    " grey AS (SELECT img, r, c, CAST(least(37 * count(*), 255) AS INTEGER) AS v, CAST(least(37 * count(*) FILTER (event_type = 'click'), 255) AS INTEGER) AS red,"
+    " CAST(least(37 * count(*) FILTER (event_type = 'view'), 255) AS INTEGER) AS green, CAST(least(37 * count(*) FILTER (event_type = 'purchase'), 255) AS INTEGER) AS blue FROM spot GROUP BY ALL)"
 )
-#: Cells with at least so many times the events of an even spread over 48 x 48 cells.
-THICK, SPARSE, PEAK = "n * 2304 >= 0.7 * total", "n * 2304 >= 1.6 * total", "n * 2304 >= 3.1 * total"

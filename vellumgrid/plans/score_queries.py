@@ -119,8 +119,8 @@ def entropy_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
 FLIP_SQL = """
 WITH e AS (SELECT user_id, CASE WHEN event_type = 'click' THEN event_id % 4 END AS a, CASE WHEN event_type = 'view' THEN event_id % 6 END AS b FROM events),
 ca AS (SELECT user_id, a, count(*) AS k FROM e WHERE a IS NOT NULL GROUP BY ALL), cb AS (SELECT user_id, b, count(*) AS k FROM e WHERE b IS NOT NULL GROUP BY ALL),
-ha AS (SELECT user_id, sum(-p * ln(p)) AS h FROM (SELECT user_id, k / CAST(sum(k) OVER (PARTITION BY user_id) AS DOUBLE) AS p FROM ca) GROUP BY 1),
-hb AS (SELECT user_id, sum(-p * ln(p)) AS h FROM (SELECT user_id, k / CAST(sum(k) OVER (PARTITION BY user_id) AS DOUBLE) AS p FROM cb) GROUP BY 1)
+ha AS (SELECT user_id, round(ln(sum(k)) - list_sum(list_sort(list(k * ln(k)))) / sum(k), 9) AS h FROM ca GROUP BY 1),
+hb AS (SELECT user_id, round(ln(sum(k)) - list_sum(list_sort(list(k * ln(k)))) / sum(k), 9) AS h FROM cb GROUP BY 1)
 SELECT u.user_id, coalesce(ha.h > hb.h, true) AS flipped FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN ha USING (user_id) LEFT JOIN hb USING (user_id)"""
 
 
