@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,40 +29,57 @@ def align(observed: str, intended: str, costs: dict[tuple[str, str], float] | No
 
     costs: conditional probabilities of pairs; a step costs 1 less its probability, equal characters nothing. None: unit costs.
     """
+    cols = len(observed) + 1
     p = (lambda x, y: costs.get((x, y), 0.0)) if costs is not None else (lambda x, y: 0.0)
-    rows, cols = len(intended) + 1, len(observed) + 1
-    best = [[0.0] * cols for _ in range(rows)]
-    step = [[""] * cols for _ in range(rows)]
-    for i in range(rows):
-        for j in range(cols):
-            ways = []
-            if j:
-                ways.append((best[i][j - 1] + 1 - p(observed[j - 1], EMPTY), 0, "i"))
-            if i:
-                ways.append((best[i - 1][j] + 1 - p(EMPTY, intended[i - 1]), 1, "d"))
-            if i and j:
-                same = observed[j - 1] == intended[i - 1]
-                ways.append((best[i - 1][j - 1] + (0 if same else 1 - p(observed[j - 1], intended[i - 1])), 2, "s"))
-            if ways:
-                best[i][j], _, step[i][j] = min(ways)
-    pairs, i, j = [], rows - 1, cols - 1
+    insert = [p(x, EMPTY) for x in observed]
+    above = [0.0]
+    for x in insert:
+        above.append(above[-1] + 1 - x)
+    steps = ["i" * cols]
+    for y in intended:
+        delete = p(EMPTY, y)
+        change = {x: 0.0 if x == y else 1 - p(x, y) for x in set(observed)}
+        left, corner = above[0] + 1 - delete, above[0]
+        row, step = [left], ["d"]
+        for x, more, up in zip(observed, insert, above[1:]):
+            by_insert, by_delete, by_change = left + 1 - more, up + 1 - delete, corner + change[x]
+            if by_insert <= by_delete and by_insert <= by_change:
+                left = by_insert
+                step.append("i")
+            elif by_delete <= by_change:
+                left = by_delete
+                step.append("d")
+            else:
+                left = by_change
+                step.append("s")
+            row.append(left)
+            corner = up
+        above = row
+        steps.append("".join(step))
+    pairs, i, j = [], len(intended), len(observed)
     while i or j:
-        way = step[i][j]
+        way = steps[i][j]
         pairs.append((EMPTY if way == "d" else observed[j - 1], EMPTY if way == "i" else intended[i - 1]))
         i, j = i - (way != "i"), j - (way != "d")
-    return best[-1][-1], pairs[::-1]
+    return above[-1], pairs[::-1]
 
 
 def alignments(pairs: DataFrame, costs: dict[tuple[str, str], float] | None = None) -> DataFrame:
     """Adds cost and steps (array of o, i) to rows (observed, intended); null counts as empty."""
-    schema = pairs.withColumns({"cost": F.lit(0.0), "steps": F.array().cast("array<struct<o:string,i:string>>")}).schema
-
-    def kernel(frames):
-        for df in frames:
-            found = [align(o or "", i or "", costs) for o, i in zip(df["observed"], df["intended"])]
-            yield df.assign(cost=[float(c) for c, _ in found], steps=[[{"o": o, "i": i} for o, i in s] for _, s in found])
-
-    return pairs.mapInPandas(kernel, schema)
+    schema = pairs.drop("cost", "steps").withColumns({"cost": F.lit(0.0), "steps": F.array().cast("array<struct<o:string,i:string>>")}).schema
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = list(zip(batch.column("observed").to_pylist(), batch.column("intended").to_pylist()))
+            # words that repeat in a batch are aligned once
+            known = {w: align(w[0] or "", w[1] or "", costs) for w in set(words)}
+            found = [known[w] for w in words]
+            ends = np.cumsum([0, *(len(s) for _, s in found)])
+            o, i = (pa.array([pair[k] for _, s in found for pair in s], pa.string()) for k in (0, 1))
+            steps = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([o, i], names=["o", "i"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([float(c) for c, _ in found]), steps], names=[*batch.schema.names, "cost", "steps"])
+
+    return pairs.drop("cost", "steps").mapInArrow(kernel, schema)
 
 
 def tally(aligned: DataFrame, times: str | None = None) -> DataFrame:
