@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumgrid.storage import write_table
+from vellumgrid.storage import dealt, write_table
 
 
 def _doubled(now: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def _doubled(now: DataFrame) -> DataFrame:
     there = now.select(*(F.col(c).alias(f"_{c}") for c in ("node", "ahead", "far", "least", "at", "last", "rest")))
     walks = F.col("last").isNull()
     less = walks & (F.col("_least") < F.col("least"))
-    return now.join(there, walks & (F.col("ahead") == F.col("_node")), "left").select(
+    return now.join(dealt(there), walks & (F.col("ahead") == F.col("_node")), "left").select(
         "node",
         F.when(walks, F.col("_ahead")).alias("ahead"),
         F.when(walks, F.col("far") + F.col("_far")).otherwise(F.col("far")).alias("far"),
@@ -37,7 +37,7 @@ def rank_lists(links: DataFrame, name: str = "links") -> DataFrame:
     its own ends the list at its predecessor.
     """
     known = links.select(F.col("node").alias("_n"))
-    first = links.select("node", "next").join(known, F.col("next") == F.col("_n"), "left")
+    first = links.select("node", "next").join(dealt(known), F.col("next") == F.col("_n"), "left")
     # ahead: reached so far, null past the end; far: links walked; least: the smallest node walked over, at `at` links from here
     now = write_table(first.select("node", F.col("_n").alias("ahead"), F.lit(1).cast("long").alias("far"), F.col("node").alias("least"), F.lit(0).cast("long").alias("at"), F.lit(True).alias("changed")), name)
     # a list's last node, and links to it, once the end is in sight
@@ -48,7 +48,7 @@ def rank_lists(links: DataFrame, name: str = "links") -> DataFrame:
         # is always a node that has reached one whose last node is known.
         if not now.where("last is null and changed").limit(1).count():
             ahead = now.where("last is not null").select(F.col("node").alias("_node"))
-            if not now.where("last is null").join(ahead, F.col("ahead") == F.col("_node")).limit(1).count():
+            if not now.where("last is null").join(dealt(ahead), F.col("ahead") == F.col("_node")).limit(1).count():
                 break
     ring = F.col("last").isNull()
     return now.select("node", F.when(ring, F.col("least")).otherwise(F.col("last")).alias("head"), F.when(ring, F.col("at")).otherwise(F.col("rest")).alias("steps"), ring.alias("ring"))

@@ -15,7 +15,7 @@ from vellumgrid.functions import geometry as g
 from vellumgrid.operators import streets
 from vellumgrid.operators.components import connected_components
 from vellumgrid.operators.linking import rank_lists
-from vellumgrid.storage import write_table
+from vellumgrid.storage import dealt, write_table
 
 #: Width of the cells in which ends over a gap are looked for.
 CELLS = {"lines": 25.0, "extended streets": 1000.0}
@@ -50,7 +50,7 @@ def vertex_candidates(ends: DataFrame, way: str, key: str = "map_id") -> DataFra
     """(a, b, score): free ends of two lines at one vertex (equal whole coordinates), a under b."""
     at = ends.withColumns({"vx": g.truncated(F.col("x")), "vy": g.truncated(F.col("y"))})
     a, b = _sides(at, key, "vx", "vy")
-    pairs = a.join(b, (a[key] == b[key]) & (F.col("a_vx") == F.col("b_vx")) & (F.col("a_vy") == F.col("b_vy")) & (F.col("a_e") < F.col("b_e")) & (F.floor(F.col("a_e") / 2) < F.floor(F.col("b_e") / 2)))
+    pairs = a.join(dealt(b), (a[key] == b[key]) & (F.col("a_vx") == F.col("b_vx")) & (F.col("a_vy") == F.col("b_vy")) & (F.col("a_e") < F.col("b_e")) & (F.floor(F.col("a_e") / 2) < F.floor(F.col("b_e") / 2)))
     return pairs.select(F.col("a_e").alias("a"), F.col("b_e").alias("b"), streets.vertex_score(way, *_cosines()).alias("score")).where("score is not null")
 
 
@@ -65,7 +65,7 @@ def gap_candidates(ends: DataFrame, way: str, key: str = "map_id", whole: bool =
     near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in (*HALF, OTHER_DIAGONAL)[: 5 if whole else 4]))
     a = a.withColumn("step", F.explode(near)).withColumns({"tx": F.col("a_cx") + F.col("step.i"), "ty": F.col("a_cy") + F.col("step.j")})
     here = (F.col("step.i") == 0) & (F.col("step.j") == 0)
-    met = a.join(b, (a[key] == b[key]) & (F.col("tx") == F.col("b_cx")) & (F.col("ty") == F.col("b_cy")) & (~here | (F.col("a_e") < F.col("b_e"))) & (F.col("a_e") != F.col("b_e")) & (F.col("a_far") != F.col("b_e")))
+    met = a.join(dealt(b), (a[key] == b[key]) & (F.col("tx") == F.col("b_cx")) & (F.col("ty") == F.col("b_cy")) & (~here | (F.col("a_e") < F.col("b_e"))) & (F.col("a_e") != F.col("b_e")) & (F.col("a_far") != F.col("b_e")))
     # step by step, as each is used more than once; all of it is the same for (b, a)
     line, long_line = _cosines()
     pairs = met.withColumns({"gx": F.col("b_x") - F.col("a_x"), "gy": F.col("b_y") - F.col("a_y")})
@@ -88,7 +88,7 @@ def _partners(taken: DataFrame) -> DataFrame:
 def _walk(ends: DataFrame, taken: DataFrame) -> DataFrame:
     """From every free end along its long line and the pairs taken, as lists: (node, head, steps, ring)."""
     next_ = _partners(taken).select(F.col("e").alias("_e"), "partner")
-    return rank_lists(ends.join(next_, F.col("far") == F.col("_e"), "left").select(F.col("e").alias("node"), F.col("partner").alias("next")), "long-lines")
+    return rank_lists(ends.join(dealt(next_), F.col("far") == F.col("_e"), "left").select(F.col("e").alias("node"), F.col("partner").alias("next")), "long-lines")
 
 
 def rejoined(ends: DataFrame, taken: DataFrame, key: str = "map_id") -> DataFrame:
@@ -96,9 +96,9 @@ def rejoined(ends: DataFrame, taken: DataFrame, key: str = "map_id") -> DataFram
     lists = _walk(ends, taken).where("not ring").select(F.col("node").alias("_n"), F.col("head").alias("_head"))
     # the head is where the last long line is entered: the new far end is that line's own
     last = ends.select(F.col("e").alias("_h"), F.col("far").alias("_far"), F.col("fx").alias("_fx"), F.col("fy").alias("_fy"))
-    moved = ends.join(lists, F.col("e") == F.col("_n")).join(last, F.col("_head") == F.col("_h"))
+    moved = ends.join(dealt(lists), F.col("e") == F.col("_n")).join(dealt(last), F.col("_head") == F.col("_h"))
     gone = _partners(taken).select("e")
-    return write_table(moved.join(gone, "e", "left_anti").select(key, "e", "x", "y", "dx", "dy", F.col("_far").alias("far"), F.col("_fx").alias("fx"), F.col("_fy").alias("fy")), "free-ends")
+    return write_table(moved.join(dealt(gone), "e", "left_anti").select(key, "e", "x", "y", "dx", "dy", F.col("_far").alias("far"), F.col("_fx").alias("fx"), F.col("_fy").alias("fy")), "free-ends")
 
 
 def open_rings(ends: DataFrame, taken: DataFrame) -> DataFrame:
@@ -106,9 +106,9 @@ def open_rings(ends: DataFrame, taken: DataFrame) -> DataFrame:
     ring = _walk(ends, taken).where("ring").select("node", "head")
     one, two = (ring.select(F.col("node").alias(side), F.col("head").alias(f"head_{side}")) for side in "ab")
     # a ring is walked both ways, which its pairs enter at one end each
-    rings = taken.join(one, "a").join(two, "b").select(F.least("head_a", "head_b").alias("ring"), F.struct("score", "a", "b").alias("pair"))
+    rings = taken.join(dealt(one), "a").join(dealt(two), "b").select(F.least("head_a", "head_b").alias("ring"), F.struct("score", "a", "b").alias("pair"))
     worst = rings.groupBy("ring").agg(F.max("pair").alias("w")).select("w.a", "w.b")
-    return taken.join(worst, ["a", "b"], "left_anti")
+    return taken.join(dealt(worst), ["a", "b"], "left_anti")
 
 
 def _vertex_pass(ends: DataFrame, way: str, key: str) -> DataFrame:
@@ -119,7 +119,7 @@ def _vertex_pass(ends: DataFrame, way: str, key: str) -> DataFrame:
         now = write_table(dominant(left), "vertex-pairs")
         used = _partners(now).select("e")
         taken = now if taken is None else taken.unionByName(now)
-        left = write_table(left.join(used.withColumnRenamed("e", "a"), "a", "left_anti").join(used.withColumnRenamed("e", "b"), "b", "left_anti"), "vertex-candidates")
+        left = write_table(left.join(dealt(used.withColumnRenamed("e", "a")), "a", "left_anti").join(dealt(used.withColumnRenamed("e", "b")), "b", "left_anti"), "vertex-candidates")
     return taken
 
 
@@ -155,7 +155,7 @@ def merge_polylines(lines: DataFrame, way: str = "lines", vertex_passes: int = 2
         joined = joined.unionByName(more)
     joined = joined.select(F.floor(F.col("a") / 2).alias("u"), F.floor(F.col("b") / 2).alias("v"), "gap")
     group = connected_components(joined.select("u", "v"), "long-lines")
-    gaps = joined.where("gap = 1").join(group, F.col("u") == F.col("node")).groupBy(F.col("component").alias("_g")).agg(F.count("*").alias("gaps"))
+    gaps = joined.where("gap = 1").join(dealt(group), F.col("u") == F.col("node")).groupBy(F.col("component").alias("_g")).agg(F.count("*").alias("gaps"))
     group_id = F.coalesce("component", "line_id").cast("long")
-    found = lines.join(group, F.col("line_id") == F.col("node"), "left").select(F.col(key).cast("long").alias(key), F.col("line_id").cast("long").alias("line_id"), group_id.alias("group_id"))
-    return found.join(gaps, F.col("group_id") == F.col("_g"), "left").select(key, "line_id", "group_id", F.coalesce("gaps", F.lit(0)).cast("long").alias("gaps"))
+    found = lines.join(dealt(group), F.col("line_id") == F.col("node"), "left").select(F.col(key).cast("long").alias(key), F.col("line_id").cast("long").alias("line_id"), group_id.alias("group_id"))
+    return found.join(dealt(gaps), F.col("group_id") == F.col("_g"), "left").select(key, "line_id", "group_id", F.coalesce("gaps", F.lit(0)).cast("long").alias("gaps"))

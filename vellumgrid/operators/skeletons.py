@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumgrid.operators.linking import rank_lists
-from vellumgrid.storage import write_table
+from vellumgrid.storage import dealt, write_table
 
 #: Fixed values of twins: greatest difference of their lengths, and factor of the radius.
 TWIN_DIFFERENCE, TWIN_FACTOR = 7, 1.4
@@ -31,8 +31,8 @@ def degrees(chains: DataFrame) -> DataFrame:
 def free_chains(chains: DataFrame, vertices: DataFrame) -> DataFrame:
     """(chain_id, branch, span, radius, degree): chains from an end point to a branch point, their straight length and the radius there."""
     degree = degrees(chains)
-    side = lambda c: vertices.join(degree, "vertex").select(F.col("vertex").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("x", "y", "d2", "degree")))
-    both = chains.join(side("u"), "u").join(side("v"), "v")
+    side = lambda c: vertices.join(dealt(degree), "vertex").select(F.col("vertex").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("x", "y", "d2", "degree")))
+    both = chains.join(dealt(side("u")), "u").join(dealt(side("v")), "v")
     at_u = F.col("u_degree") >= 3
     pick = lambda x: F.when(at_u, F.col(f"u_{x}")).otherwise(F.col(f"v_{x}"))
     span = F.hypot(F.col("u_x") - F.col("v_x"), F.col("u_y") - F.col("v_y"))
@@ -53,12 +53,12 @@ def merged(chains: DataFrame) -> DataFrame:
     ends = write_table(chain_ends(chains), "chain-ends")
     pairs = ends.groupBy("vertex").agg(F.count("*").alias("degree"), F.min("e").alias("a"), F.max("e").alias("b")).where((F.col("degree") == 2) & (F.floor(F.col("a") / 2) != F.floor(F.col("b") / 2)))
     partner = write_table(pairs.select(F.inline(F.array(F.struct(F.col("a").alias("_e"), F.col("b").alias("partner")), F.struct(F.col("b").alias("_e"), F.col("a").alias("partner"))))), "chain-pairs")
-    walk = rank_lists(ends.join(partner, F.col("other") == F.col("_e"), "left").select(F.col("e").alias("node"), F.col("partner").alias("next")), "chains")
-    nodes = walk.join(ends, F.col("node") == F.col("e"))
+    walk = rank_lists(ends.join(dealt(partner), F.col("other") == F.col("_e"), "left").select(F.col("e").alias("node"), F.col("partner").alias("next")), "chains")
+    nodes = walk.join(dealt(ends), F.col("node") == F.col("e"))
     lists = nodes.groupBy("head", "ring").agg(F.min("chain_id").alias("chain_id"), F.sum("n").alias("n"), F.min("vertex").alias("least"))
     # a path is walked both ways; each way ends at one of its outer vertices
     last = ends.select((F.col("other")).alias("_h"), F.col("vertex").alias("outer"))
-    outer = lists.join(last, F.col("head") == F.col("_h")).withColumn("outer", F.when(F.col("ring"), F.col("least")).otherwise(F.col("outer")))
+    outer = lists.join(dealt(last), F.col("head") == F.col("_h")).withColumn("outer", F.when(F.col("ring"), F.col("least")).otherwise(F.col("outer")))
     return outer.groupBy("chain_id").agg(F.min("outer").alias("u"), F.max("outer").alias("v"), F.max("n").alias("n"))
 
 
@@ -77,7 +77,7 @@ def prune(chains: DataFrame, vertices: DataFrame, factor: float = 1.0) -> DataFr
         cut = write_table(short.withColumn("place", place).where(F.col("place") <= F.col("degree") - 2).select("chain_id"), "cut")
         if not cut.limit(1).count():
             return now.withColumn("rounds", F.lit(rounds))
-        now = write_table(merged(now.join(cut, "chain_id", "left_anti")), "chains")
+        now = write_table(merged(now.join(dealt(cut), "chain_id", "left_anti")), "chains")
         rounds += 1
 
 
@@ -90,4 +90,4 @@ def prune_twins(chains: DataFrame, vertices: DataFrame, factor: float = TWIN_FAC
         F.count("*").alias("n"), (F.max(F.ceil("span")) - F.min(F.ceil("span"))).alias("apart"), F.bool_or("inside").alias("inside"), F.collect_list("chain_id").alias("ids")
     )
     cut = first.where((F.col("n") == 2) & (F.col("apart") <= difference) & F.col("inside")).select(F.explode("ids").alias("chain_id"))
-    return merged(chains.select("chain_id", "u", "v", "n").join(cut, "chain_id", "left_anti"))
+    return merged(chains.select("chain_id", "u", "v", "n").join(dealt(cut), "chain_id", "left_anti"))
