@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumgrid.operators.components import connected_components
-from vellumgrid.storage import write_table
+from vellumgrid.storage import dealt, write_table
 
 #: Fixed order of the eight neighbours, clockwise from above: bit k of a neighbourhood mask is neighbour k.
 NEIGHBOURS = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
@@ -24,11 +24,11 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b, a.columns, "left_semi")
+    return a.join(dealt(b), a.columns, "left_semi")
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b, a.columns, "left_anti")
+    return a.join(dealt(b), a.columns, "left_anti")
 
 
 def full_grid(images: DataFrame, height: int, width: int) -> DataFrame:
@@ -133,7 +133,7 @@ def feature_transform(grid: DataFrame, key: str = "img") -> DataFrame:
     pick = F.when(F.col("b").isNull(), F.col("a")).when(F.col("a").isNull(), F.col("b")).when(F.col("c") - F.col("b") <= F.col("a") - F.col("c"), F.col("b")).otherwise(F.col("a"))
     near = near.select(key, "r", "c", pick.alias("fc"))
     other = near.where("fc is not null").select(key, F.col("r").alias("fr"), "c", "fc")
-    pairs = near.select(key, "r", "c").join(other, [key, "c"])
+    pairs = near.select(key, "r", "c").join(dealt(other), [key, "c"])
     d2 = (F.col("r") - F.col("fr")) * (F.col("r") - F.col("fr")) + (F.col("c") - F.col("fc")) * (F.col("c") - F.col("fc"))
     best = pairs.groupBy(key, "r", "c").agg(F.min(F.struct(d2.alias("d2"), "fr", "fc")).alias("m"))
     return best.select(key, "r", "c", "m.d2", "m.fr", "m.fc")
@@ -168,7 +168,7 @@ def neighbour_mask(cells: DataFrame, key: str = "img") -> DataFrame:
     """Adds mask, with bit k set if neighbour k is, to every set cell."""
     told = cells.select(key, F.explode(F.array(*(F.struct((F.col("r") - dr).alias("r"), (F.col("c") - dc).alias("c"), F.lit(1 << k).alias("bit")) for k, (dr, dc) in enumerate(NEIGHBOURS)))).alias("n")).select(key, "n.r", "n.c", "n.bit")
     mask = told.groupBy(key, "r", "c").agg(F.sum("bit").cast("int").alias("mask"))
-    return cells.join(mask, [key, "r", "c"], "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
+    return cells.join(dealt(mask), [key, "r", "c"], "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
 
 
 def _bit(mask: Column, k: int) -> Column:

@@ -14,7 +14,7 @@ from vellumgrid.plans import fixtures as fx
 from vellumgrid.plans import geometry_sql as q
 from vellumgrid.plans import more_queries, street_queries
 from vellumgrid.sources import images, samples
-from vellumgrid.storage import shared_folder, write_table
+from vellumgrid.storage import dealt, shared_folder, write_table
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -76,13 +76,13 @@ def _skeleton_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     cells = write_table(fx.figures(spark, sf_dir).select(F.col("img").cast("string").alias("img"), "r", "c"), "figures")
     chains = write_table(folds.trace_chains(raster.thinned(cells)), "skeleton-chains")
     side = fx.FIGURE_SIDE + 2  # a margin of one, so that what touches the edge of an image has an outside
-    grid = raster.full_grid(cells.select("img").distinct(), side, side).join(cells.select("img", (F.col("r") + 1).alias("r"), (F.col("c") + 1).alias("c"), F.lit(1).alias("in")), ["img", "r", "c"], "left")
+    grid = raster.full_grid(cells.select("img").distinct(), side, side).join(dealt(cells.select("img", (F.col("r") + 1).alias("r"), (F.col("c") + 1).alias("c"), F.lit(1).alias("in"))), ["img", "r", "c"], "left")
     far = raster.feature_transform(grid.select("img", "r", "c", F.when(F.col("in").isNull(), 1).otherwise(0).alias("v"))).select("img", (F.col("r") - 1).alias("r"), (F.col("c") - 1).alias("c"), "d2")
     id_of = lambda r, c: (F.col("img").cast("long") * fx.FIGURE_SIDE + F.col(r)) * fx.FIGURE_SIDE + F.col(c)
     ends = chains.groupBy("img", "chain_id").agg(F.min(F.struct("pos", "r", "c")).alias("a"), F.max(F.struct("pos", "r", "c")).alias("b"), F.count("*").alias("n"))
     ends = ends.select("img", (F.col("img").cast("long") * 100_000 + F.col("chain_id")).alias("chain_id"), "n", *(F.col(f"{k}.{x}").alias(f"{k}{x}") for k in "ab" for x in "rc"))
     corners = ends.select("img", F.inline(F.array(*(F.struct(F.col(f"{k}r").alias("r"), F.col(f"{k}c").alias("c")) for k in "ab")))).distinct()
-    vertices = corners.join(far, ["img", "r", "c"]).select(id_of("r", "c").alias("vertex"), F.col("c").alias("x"), F.col("r").alias("y"), "d2")
+    vertices = corners.join(dealt(far), ["img", "r", "c"]).select(id_of("r", "c").alias("vertex"), F.col("c").alias("x"), F.col("r").alias("y"), "d2")
     return write_table(ends.select("chain_id", id_of("ar", "ac").alias("u"), id_of("br", "bc").alias("v"), "n"), "chains"), write_table(vertices, "vertices")
 
 
