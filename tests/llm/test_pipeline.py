@@ -94,3 +94,51 @@ def test_near_duplicates_keep_rows_of_repeated_and_missing_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.near_duplicates_out(spark, docs, FOLDER).select("doc_id", "text").collect()
     assert cases.multiset(map(tuple, got)) == cases.multiset([(None, a), (None, b), (1, c), (0, d + " more"), (7, e), (None, "")])
+
+
+def test_sketches_rule_out_no_pair_that_reaches_the_similarity(spark):
+    """Pairs from 0.3 to 1 of sets of 1 to 3,000 hashes: a bound that is exact, and that tells half-alike texts apart."""
+    import numpy as np
+
+    from vellumgrid.llm import near_copies
+
+    rnd = np.random.default_rng(5)
+    rows = []
+    for n in (1, 2, 9, 100, 150, 600, 3000):
+        for share in np.linspace(0.3, 1, 29):
+            x = rnd.integers(0, (1 << 64) - 1, n, np.uint64)
+            y = x.copy()
+            other = n - round(n * 2 * share / (1 + share))
+            y[:other] = rnd.integers(0, (1 << 64) - 1, other, np.uint64)
+            a, b = np.unique(x), np.unique(y)
+            j = near_copies.similarity(a.tobytes(), b.tobytes())
+            rows.append((n, j, len(a), len(b), near_copies.sketch(a).tolist(), near_copies.sketch(b).tolist()))
+    pairs = spark.createDataFrame(rows, "size int, j double, n int, m int, x array<long>, y array<long>")
+    got = pairs.withColumn("may", near_copies.may_reach(F.col("x"), F.col("y"), F.col("n"), F.col("m"), 0.8)).collect()
+    assert all(r.may for r in got if r.j >= 0.8) and sum(r.j >= 0.8 for r in got) > 50
+    assert not any(r.may for r in got if 100 <= r.size <= 600 and r.j < 0.65)
+
+
+def test_half_alike_texts_do_not_make_all_their_pairs(spark, monkeypatch):
+    """120 texts with the passages of one, none of them linked: their pairs meet bounds before anything is written or read again."""
+    from vellumgrid.llm import near_copies
+
+    made, write = {}, near_copies.write_table
+
+    def counted(df, name):
+        written = write(df, name)
+        made[name] = made.get(name, 0) + written.count() if name in ("tried", "rest") else 0
+        return written
+
+    monkeypatch.setattr(near_copies, "write_table", counted)
+    rnd = random.Random(6)
+    base, texts = cases.prose(rnd, 150).split(), []
+    for k in range(120):
+        copy = list(base)
+        for at in rnd.sample(range(5, 145), 7):
+            copy[at] = f"edit{k}x{at}"
+        texts.append(" ".join(copy))
+    assert max(jaccard(a, b) for a, b in zip(texts, texts[1:])) < 0.8
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert near_copies.one_of_each(docs).count() == 120
+    assert made["tried"] + made["rest"] < 120

@@ -92,23 +92,6 @@ def _chain_mask(ring: list[tuple[int, int]], start: int, length: int) -> int:
     return _signed(sum(((1 << w) - 1) << low for low, w in (ring[(start + j) % len(ring)] for j in range(length))))
 
 
-def within_ring(u: Column, v: Column, max_difference: int, parts: int = 8) -> Column:
-    """Whether two fingerprints differ in at most max_difference bits: some start has all its chains within budget, the last of which is
-    the whole ring. For candidates from elsewhere; `near_links` finds its own."""
-    ring, differs = segments(parts), u.bitwiseXOR(v)
-
-    def from_start(k: int) -> Column:
-        chain = F.lit(True)
-        for length in range(1, parts):
-            chain &= F.bit_count(differs.bitwiseAND(F.lit(_chain_mask(ring, k, length)))) <= length * max_difference // parts
-        return chain
-
-    chained = from_start(0)
-    for k in range(1, parts):
-        chained |= from_start(k)
-    return chained & (F.bit_count(differs) <= max_difference)
-
-
 def near_links(nodes: DataFrame, max_difference: int = MAX_DIFFERENCE) -> DataFrame:
     """Links (u, v), u < v, between distinct fingerprints `fp` that differ in 1 to `max_difference` bits; a link may repeat.
 
