@@ -224,3 +224,19 @@ def test_main_text(spark):
 def test_weights_keep_their_sign():
     w = html_text.Weights(html_text.table_of({html_text.bucket("<p>"): (1000, 1), html_text.bucket("p p"): (1, 1000)}))
     assert w.of_kind("<p>") < 0 < w.of_kind("p p")
+
+
+def test_softmax_of_rows_near_and_far_apart():
+    """One shift for all rows gives what a maximum of each row gives, also where rows lie so far apart that it would lose some."""
+    import numpy as np
+
+    from vellumgrid.llm import language_model as lm
+
+    rnd = np.random.default_rng(7)
+    for spread in (0, 1, 30, 79, 200, 1e4):
+        z = (rnd.random((50, 20)) + spread * rnd.random((50, 1))).astype(np.float32)
+        want = np.exp(z.astype(float) - z.max(axis=1, keepdims=True))
+        want /= want.sum(axis=1, keepdims=True)
+        lm._softmax(z)
+        assert np.allclose(z, want, rtol=2e-3 if spread > 1e3 else 1e-4) and np.allclose(z.sum(axis=1), 1, atol=1e-5)
+    lm._softmax(np.zeros((0, 20), np.float32))
