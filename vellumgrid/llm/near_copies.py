@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from vellumgrid.llm import simhash
 from vellumgrid.llm.common import raw, slices
 from vellumgrid.operators.components import connected_components
+from vellumgrid.storage import dealt as by_key
 from vellumgrid.storage import write_table
 
 SHINGLE_WORDS = 5
@@ -138,7 +139,7 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, texts: DataFrame, least: float
             good = [similarity(a, b) >= least for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(texts, "node").select("row", "node")
+    wanted = by_key(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()).join(texts, "node").select("row", "node")
     held = write_table(rows.select("row", F.col("text").cast("string").alias("text")).join(wanted, "row").select("node", "text").mapInArrow(sets, "node long, shingles binary"), "shingles")
     a, b = (held.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "uv")
     return write_table(pairs.join(a, "u").join(b, "v").select("u", "v", "u_set", "v_set").mapInArrow(kernel, "u long, v long"), "confirmed")
@@ -163,7 +164,7 @@ def _placed(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     buckets = nodes.select("node", "n", "fp", F.explode("keys").alias("key"))
     whole = F.struct("node", "n", "fp")
     ends = buckets.groupBy("key").agg(F.min(whole).alias("low"), F.max(whole).alias("high")).where("low.node < high.node")
-    shared = write_table(buckets.join(ends, "key"), "shared")
+    shared = write_table(buckets.join(by_key(ends), "key"), "shared")
 
     close = (F.least("n", "m") >= F.greatest("n", "m") * (least - 1e-9)) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("gp"))) <= MOST_DIFFERENCE)
     to_ends = shared.select("node", "n", "fp", F.explode(F.array("low", "high")).alias("end")).select("node", "n", "fp", F.col("end.node").alias("end"), F.col("end.n").alias("m"), F.col("end.fp").alias("gp"))
@@ -172,14 +173,14 @@ def _placed(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     links = _confirmed(tried, rows, texts, least)
     found = connected_components(links, "near")
 
-    placed = write_table(shared.select("key", "node", "n", "fp").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    placed = write_table(shared.select("key", "node", "n", "fp").join(by_key(found), "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     in_key = placed.groupBy("key", "component").agg(F.count("*").alias("nodes"))
     largest = in_key.groupBy("key").agg(F.max(F.struct("nodes", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.component").alias("top"))
     open_ = write_table(placed.join(largest, "key").withColumn("main", F.col("component") == F.col("top")).join(nodes.select("node", "sketch"), "node"), "open")
     a = open_.select("key", F.col("node").alias("a"), "n", "fp", "sketch", F.col("component").alias("ca"), F.col("main").alias("main_a"))
     b = open_.where("not main").select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("fp").alias("gp"), F.col("sketch").alias("other"), F.col("component").alias("cb"))
     reaching = may_reach(F.col("sketch"), F.col("other"), F.col("n"), F.col("m"), least)
-    crossing = a.join(b, "key").where("ca <> cb and (main_a or ca < cb)").where(close).where(reaching).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    crossing = a.join(by_key(b), "key").where("ca <> cb and (main_a or ca < cb)").where(close).where(reaching).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     rest = write_table(crossing.join(tried, ["u", "v"], "left_anti"), "rest")
     found = connected_components(links.unionByName(_confirmed(rest, rows, texts, least)), "near")
     return rows, described.select("row", "node").join(found, "node", "left").select("row", F.coalesce("component", "node").alias("component"))
